@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelloom.llm.licenses import op8_license_scan
+from labelloom.llm.media import op1_media_columns
+from labelloom.llm.quality import op3_quality
+from labelloom.llm.token_counts import op2_token_counts
 from labelloom.llm.token_output import op10_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
+    "op8_license_scan": op8_license_scan,
     "op10_token_output": op10_token_output,
 }
 
