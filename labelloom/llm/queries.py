@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from labelloom.llm.licenses import op8_license_scan
 from labelloom.llm.media import op1_media_columns
 from labelloom.llm.quality import op3_quality
+from labelloom.llm.simhash import op6_simhash
 from labelloom.llm.token_counts import op2_token_counts
 from labelloom.llm.token_output import op10_token_output
 
@@ -16,8 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_simhash": op6_simhash,
     "op8_license_scan": op8_license_scan,
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
+}
