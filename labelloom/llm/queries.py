@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from labelloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from labelloom.llm.licenses import op8_license_scan
 from labelloom.llm.media import op1_media_columns
+from labelloom.llm.mixing import OP7_SQL, op7_mixing
 from labelloom.llm.quality import op3_quality
 from labelloom.llm.simhash import op6_simhash
 from labelloom.llm.token_counts import op2_token_counts
@@ -20,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
     "op8_license_scan": op8_license_scan,
     "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
+    "op7_mixing": OP7_SQL,
 }
