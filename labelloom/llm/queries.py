@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.llm.decontaminate import OP4_SQL, op4_decontaminate
+from labelloom.llm.html_text import op9_html_text
 from labelloom.llm.licenses import op8_license_scan
 from labelloom.llm.media import op1_media_columns
 from labelloom.llm.mixing import OP7_SQL, op7_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_license_scan": op8_license_scan,
+    "op9_html_text": op9_html_text,
     "op10_token_output": op10_token_output,
 }
 
