@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from labelloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from labelloom.llm.html_text import op9_html_text
 from labelloom.llm.licenses import op8_license_scan
+from labelloom.llm.line_dedup import op5_line_dedup
 from labelloom.llm.media import op1_media_columns
 from labelloom.llm.mixing import OP7_SQL, op7_mixing
 from labelloom.llm.quality import op3_quality
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_license_scan": op8_license_scan,
