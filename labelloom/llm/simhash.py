@@ -5,8 +5,8 @@ whole sequence), each hashed by XXH64 with seed 42. A bit of the fingerprint is
 hashes.
 
 Linking meets in the middle, twice. Two fingerprints within 3 bits agree within 1 bit on one of their 32-bit halves:
-each emits its halves' variants within half the radius (1 bit), and only fingerprints that meet another one on such a
-variant go on. Those emit whole variants: if two differ in 3 bits, one of them has two of these bits clear, so flipping
+each emits its halves' variants within half the radius (1 bit), and only fingerprints that meet on such a variant go on.
+Where few meet, they are compared there. Where many do, they emit whole variants: if two differ in 3 bits, one of them has two of these bits clear, so flipping
 two clear bits of it (one or none, if they differ in fewer) and one bit of the other meets at one variant. All that
 meet at a variant which some fingerprint reaches by one flip or none are within 3 bits of that fingerprint: they are
 verified by that, and linked to it as a star, never as pairs.
@@ -32,6 +32,8 @@ SEED = 42
 RADIUS = 3
 #: Hashes that are unpacked to bits at once.
 AT_ONCE = 16384
+#: Meetings on one variant up to which pairs are compared.
+FEW = 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -69,16 +71,33 @@ def flips(value: Column, bits: range, clear_only: bool = False) -> Column:
     return F.transform(chosen, lambda m: value.bitwiseXOR(m))
 
 
-def neighbours(nodes: DataFrame) -> DataFrame:
-    """fp of those nodes (distinct fp) that have another within 3 bits, and of some that have none."""
+def meetings(nodes: DataFrame) -> DataFrame:
+    """fp, high, half, n: the variants of nodes' halves on which n > 1 emissions of different nodes meet."""
+
     def variants(high: bool) -> Column:
         half = F.shiftrightunsigned("fp", 32 if high else 0).bitwiseAND(F.lit(0xFFFFFFFF))
         # If two halves differ in one bit, it is clear in one of them.
         return F.transform(F.concat(F.array(half), flips(half, range(32), clear_only=True)), lambda x: F.struct(F.lit(high).alias("high"), x.alias("half")))
 
     emitted = nodes.select("fp", F.explode(F.concat(variants(True), variants(False))).alias("v")).select("fp", "v.high", "v.half")
-    met = emitted.groupBy("high", "half").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("high", "half")
-    return emitted.join(met, ["high", "half"], "left_semi").select("fp").distinct()
+    met = emitted.groupBy("high", "half").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a <> b").select("high", "half", "n")
+    return emitted.join(met, ["high", "half"])
+
+
+def near_pairs(met: DataFrame) -> DataFrame:
+    """Links (a, b) within RADIUS bits among those that meet on one variant; for variants of few meetings."""
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
+    pairs = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (x < y) & bits(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return met.groupBy("high", "half").agg(F.collect_set("fp").alias("fps")).select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+
+
+def links_of(nodes: DataFrame) -> DataFrame:
+    """Links whose components are those of all pairs within RADIUS bits. Where at most FEW meet on a variant, pairs are
+    compared; the nodes of all other variants go on as stars, so that no large group is paired or held."""
+    met = checkpoint(meetings(nodes))
+    many = met.where(F.col("n") > FEW).select("fp").distinct()
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return near_pairs(met.where(F.col("n") <= FEW)).unionByName(stars(many.repartition(parts, "fp"))).distinct()
 
 
 def stars(nodes: DataFrame) -> DataFrame:
@@ -128,7 +147,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id."""
     prints = checkpoint(fingerprints(docs, shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(stars(checkpoint(neighbours(nodes.select("fp")))))
+    roots = components(links_of(nodes.select("fp")))
     of = checkpoint(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
