@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,14 @@ PERCENTILE = 0.95
 END_ID = 2
 FILE_TOKENS = 4_000_000
 CACHE = 400_000
+#: Blocks that are packed at once.
+AT_ONCE = 512
 TOKENIZER = "byte_bpe_50k.json"
+#: Marks that stand after words; each is its own letter of the byte-level alphabet, as SPACE is the blank's.
+MARKS = "!\"#$%&()*,-./:;<=>?@[]^_`{|}~"
+SPACE = "Ġ"
+#: ASCII white space that isn't one blank or line feed between words.
+ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 # ---------------------------------------------------------------- blocks
@@ -66,39 +74,41 @@ def unpack(words: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(lanes.T).astype(np.uint32).reshape(n, BLOCK)
 
 
-def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percentile: float = PERCENTILE) -> bytes:
-    n = len(ids)
-    count = -(-n // BLOCK)
-    blocks = np.empty((count, BLOCK), np.uint32)
-    if n:
-        blocks.reshape(-1)[:n] = ids
-        blocks.reshape(-1)[n:] = ids[-1]
-    low = blocks.min(axis=1) if n else np.zeros(0, np.uint32)
+def encode_blocks(blocks: np.ndarray, percentile: float) -> list[bytes]:
+    low = blocks.min(axis=1)
     rest = blocks - low[:, None]
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    chosen = np.partition(rest, at, axis=1)[:, at] if n else low
-    widths = np.array([int(x).bit_length() for x in chosen], np.uint8)
-    packed: list[bytes] = [b""] * count
-    late = rest >> widths[:, None].astype(np.uint32) > 0
-    late[widths == 32] = False
+    widths = np.array([int(x).bit_length() for x in np.partition(rest, at, axis=1)[:, at]], np.uint8)
+    # Shifting in 64 bits: a width of 32 leaves nothing over.
+    late = rest.astype(np.uint64) >> widths[:, None].astype(np.uint64) > 0
+    packed: list[bytes] = [b""] * len(blocks)
     for width in np.unique(widths):
         rows = np.nonzero(widths == width)[0]
         for i, words in zip(rows, pack(np.where(late[rows], 0, rest[rows]), int(width))):
             packed[i] = words.tobytes()
-    parts, starts, place = [], np.zeros(count + 1, np.uint64), 0
-    exceptions = late.sum(axis=1)
-    for i in range(count):
-        one = struct.pack("<IBxH", low[i], widths[i], exceptions[i]) + packed[i]
-        if exceptions[i]:
+    out = []
+    for i, n in enumerate(late.sum(axis=1)):
+        one = struct.pack("<IBxH", low[i], widths[i], n) + packed[i]
+        if n:
             where = np.nonzero(late[i])[0]
             one += where.astype("<u2").tobytes() + rest[i, where].astype("<u4").tobytes()
-        parts.append(one)
-        place += len(one)
-        starts[i + 1] = place
-    header = MAGIC + struct.pack("<IIQQQ", BLOCK, count, n, len(lengths), place)
+        out.append(one)
+    return out
+
+
+def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percentile: float = PERCENTILE) -> bytes:
+    n = len(ids)
+    parts: list[bytes] = []
+    for at in range(0, n, AT_ONCE * BLOCK):
+        some = ids[at : at + AT_ONCE * BLOCK]
+        blocks = np.full(-(-len(some) // BLOCK) * BLOCK, some[-1], np.uint32)
+        blocks[: len(some)] = some
+        parts += encode_blocks(blocks.reshape(-1, BLOCK), percentile)
+    starts = np.cumsum([0, *map(len, parts)]).astype("<u8")
+    header = MAGIC + struct.pack("<IIQQQ", BLOCK, len(parts), n, len(lengths), int(starts[-1]))
     known = np.array([x is not None for x in doc_ids], np.uint8)
     docs = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + known.tobytes()
-    body = header + b"".join(parts) + starts.astype("<u8").tobytes() + docs
+    body = b"".join([header, *parts, starts.tobytes(), docs])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -116,14 +126,16 @@ def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     widths, exceptions = head[:, 4], np.ascontiguousarray(head[:, 6:8]).view("<u2")[:, 0]
     rest = np.empty((count, BLOCK), np.uint32)
     for width in np.unique(widths):
-        rows = np.nonzero(widths == width)[0]
+        all_rows = np.nonzero(widths == width)[0]
         k = int(width) * BLOCK // 64
-        words = np.stack([np.frombuffer(data, "<u8", k, starts[i] + 8) for i in rows]) if k else np.zeros((len(rows), 0), np.uint64)
-        rest[rows] = unpack(words, int(width))
+        for rows in np.array_split(all_rows, -(-len(all_rows) // AT_ONCE)):
+            words = np.stack([np.frombuffer(data, "<u8", k, starts[i] + 8) for i in rows]) if k else np.zeros((len(rows), 0), np.uint64)
+            rest[rows] = unpack(words, int(width))
     for i in np.nonzero(exceptions)[0]:
         e, at = int(exceptions[i]), int(starts[i]) + 8 + int(widths[i]) * BLOCK // 8
         rest[i, np.frombuffer(data, "<u2", e, at)] = np.frombuffer(data, "<u4", e, at + 2 * e)
-    ids = (rest + low[:, None]).reshape(-1)[:n]
+    rest += low[:, None]
+    ids = rest.reshape(-1)[:n]
     at = base + payload + 8 * (count + 1)
     doc_ids, lengths = np.frombuffer(data, "<i8", docs, at), np.frombuffer(data, "<u8", docs, at + 8 * docs)
     known = np.frombuffer(data, np.uint8, docs, at + 16 * docs)
@@ -148,19 +160,35 @@ class Pieces(dict):
         other = (x for x in range(256) if x not in set(seen))
         self.letters = {x: chr(x) for x in seen} | {x: chr(256 + i) for i, x in enumerate(other)}
         self.old: dict[str, bytes] = {}
-
-    def plain(self, piece: str) -> bytes:
-        """One pre-token straight through the model; others through the library's own split."""
-        if piece[1:].isalpha() and piece[:1] == " ":
-            ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = [x.id for part, _ in self.split(piece) for x in self.model.tokenize(part)]
-        return np.array(ids, "<u4").tobytes()
+        self.tails: dict[str, bytes] = {}
+        self.line = array("I", self.whole.encode("\n", add_special_tokens=False).ids).tobytes()
+
+    def word(self, text: str, lead: str) -> bytes:
+        """ids of a run of no white space. Letters, and what marks follow them, are two pre-tokens: the letters go
+        straight to the model. Runs of other kinds go through the library's own split."""
+        letters = text.rstrip(MARKS)
+        if not letters.isalpha():
+            return array("I", [x.id for part, _ in self.split(" " * len(lead) + text) for x in self.model.tokenize(part)]).tobytes()
+        tail = text[len(letters) :]
+        if tail and lead:
+            return self[letters] + self.marks(tail)
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [x.id for x in self.model.tokenize(lead + letters)]).tobytes()
+        return ids + self.marks(tail) if tail else ids
+
+    def marks(self, tail: str) -> bytes:
+        out = self.tails.get(tail)
+        if out is None:
+            out = self.tails[tail] = array("I", [x.id for x in self.model.tokenize(tail)]).tobytes()
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+        return out
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = self.plain(piece if piece[:1] == "\n" else " " + piece)
+            out = self.line + self.word(piece[1:], "") if piece[:1] == "\n" else self.word(piece, SPACE)
         self[piece] = out
         return out
 
@@ -172,10 +200,14 @@ class Pieces(dict):
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if text.isascii():
+            odd = any(x in text for x in ODD) or text[0] in " \n" or text[-1] in " \n"
+        else:
+            odd = len(text.split()) != text.count(" ") + text.count("\n") + 1
+        if odd:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.plain(first) + b"".join(map(self.__getitem__, rest))
+        return self.word(first, "") + b"".join(map(self.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
@@ -234,8 +266,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 ids, doc_ids, size = [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(encoder.encode(text) + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(encoder.encode(text.as_py()) + end)
                 doc_ids.append(doc_id)
                 size += len(ids[-1]) // 4
                 if size >= file_tokens:
