@@ -64,5 +64,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for batch in batches:
             if batch.num_rows:
                 yield one(batch)
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
