@@ -60,14 +60,21 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, key: list[str], width: in
     # What stays in one generated loop from here to the filter is never copied: no higher-order function stands between.
     split = docs.select(*key, words_of(text_or_empty()).alias("words")).select(*key, "words", F.size("words").cast("long").alias("n_words"))
     rows = split.select(*key, "n_words", "words", F.posexplode_outer("words").alias("at", "word"))
-    for size in sorted(counts) or [width]:
+    sizes = sorted(counts) or [width]
+    small = sum(counts.values()) <= most_broadcast
+    own = {size: F.when(F.col("at") + size <= F.col("n_words"), hash_at("words", "at", size)) for size in sizes}
+    if not small:  # rows that are shuffled carry their own windows, not their whole text's words
+        windows_at = [F.when(own[size].isNotNull(), F.slice("words", F.col("at") + 1, size)).alias(f"at{size}") for size in sizes]
+        rows = rows.select(*key, "n_words", "at", *(own[size].alias(f"own{size}") for size in sizes), *windows_at)
+    for size in sizes:
         some = windows.where(F.col("size") == size).select(F.col("hash").alias(f"hash{size}"), F.col("window").alias(f"window{size}"), F.col("items").alias(f"items{size}"))
-        if sum(counts.values()) <= most_broadcast:
-            some = F.broadcast(some)
-        rows = rows.withColumn("own", F.when(F.col("at") + size <= F.col("n_words"), hash_at("words", "at", size)))
-        # Compared after the hash; coalesce keeps the comparison from becoming a key of the join.
-        same = F.coalesce(reduce(and_, (F.get(rows["words"], rows["at"] + k) == F.get(some[f"window{size}"], F.lit(k)) for k in range(size))), F.lit(False))
-        rows = rows.join(some, (rows["own"] == some[f"hash{size}"]) & same, "left").drop("own", f"hash{size}", f"window{size}")
+        if small:
+            rows, some = rows.withColumn(f"own{size}", own[size]), F.broadcast(some)
+            # Compared after the hash; coalesce keeps the comparison from becoming a key of the join.
+            same = F.coalesce(reduce(and_, (F.get(rows["words"], rows["at"] + k) == F.get(some[f"window{size}"], F.lit(k)) for k in range(size))), F.lit(False))
+        else:
+            same = rows[f"at{size}"] == some[f"window{size}"]
+        rows = rows.join(some, (rows[f"own{size}"] == some[f"hash{size}"]) & same, "left").drop(f"own{size}", f"hash{size}", f"window{size}", f"at{size}")
     rows = rows.where(" or ".join(["at is null", "at = 0", *(f"items{size} is not null" for size in counts)]))
     hits = [F.when(F.col(f"items{size}").isNotNull(), F.struct("at", F.lit(size).alias("size"), F.col(f"items{size}").alias("items"))) for size in sorted(counts) or [width]]
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
