@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import geometry as G
 from labelloom.functions import keys as V
 from labelloom.functions import text as T
-from labelloom.functions.distance import confusion_table
+from labelloom.functions.distance import CONFUSIONS, confusion_table
 from labelloom.operators import blocks as B
 from labelloom.operators import fields as R
 from labelloom.operators import images as I
@@ -462,12 +462,29 @@ def vocab_statistics(spark, sf_dir):
     return J.match_statistics(J.match(rows, vocabulary(spark, sf_dir)))
 
 
-@query()
+WEIGHTS_SQL = ", ".join(f"'{a}{b}': {w}" for w, group in CONFUSIONS.items() for p in group for a, b in ((p[0], p[1]), (p[1], p[0])))
+
+
+@query(f"""
+with recursive {VOCABULARY}, costs as (select map {{{WEIGHTS_SQL}}} m),
+pairs as (select text, vocab_idx, value, lower(text) a, lower(value) b from (select distinct text from misread), vocab where abs(length(text) - length(value)) <= 2),
+walk as (
+    select text, vocab_idx, value, a, b, 0 i, list_transform(range(0, length(b) + 1), lambda x: cast(x as double)) r from pairs
+    union all
+    select text, vocab_idx, value, a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda x: [cast(x as double)]),
+        lambda acc, j: list_append(acc, case when a[i + 1] = b[cast(j[1] as int)] then r[cast(j[1] as int)]
+            else least(r[cast(j[1] as int) + 1] + 1, acc[cast(j[1] as int)] + 1, r[cast(j[1] as int)] + coalesce(m[a[i + 1] || b[cast(j[1] as int)]], 1.0)) end), [r[1] + 1])
+    from walk, costs where i < length(a)
+),
+close as (select text, vocab_idx, value, a = b exact, r[length(b) + 1] d, 1 - r[length(b) + 1] / greatest(length(a), length(b)) s from walk where i = length(a)),
+ranked as (select *, row_number() over (partition by text order by (not exact), d, vocab_idx) n from close where exact or (d <= 2 and s >= 0.6))
+select text, value matched, round(d, 6) distance, round(s, 6) similarity from ranked where n = 1
+""")
 def vocab_best_match_weighted(spark, sf_dir):
     return J.best_matches(misread(spark, sf_dir), vocabulary(spark, sf_dir), J.Matcher(ocr_weights=True)).select("text", "matched", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("select c1, c2, weight from (values " + ", ".join(f"('{a}', '{b}', {w}::double)" for w, g in __import__("labelloom.functions.distance", fromlist=["CONFUSIONS"]).CONFUSIONS.items() for p in g for a, b in ((p[0], p[1]), (p[1], p[0]))) + ") t(c1, c2, weight)")
+@query("select c1, c2, weight from (values " + ", ".join(f"('{a}', '{b}', {w}::double)" for w, g in CONFUSIONS.items() for p in g for a, b in ((p[0], p[1]), (p[1], p[0]))) + ") t(c1, c2, weight)")
 def confusions(spark, sf_dir):
     return confusion_table(spark)
 
