@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import map_batches, table, text_or_empty, utf8
+from labelloom.llm.common import LOWER, UPPER, map_batches, table, text_or_empty, utf8
 
 #: Phrases that name a license, and their labels.
 PHRASES = {
@@ -171,5 +171,25 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         names(F.col("base")).alias("base_labels"),
         names(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda x: F.element_at(weight, x.label))), F.lit(0.0)).alias("score"),
-        F.transform("places", lambda x: F.concat_ws(":", x.label, x.start, x.end)).alias("places"),
     )
+
+
+def template_pattern(markup: str) -> str:
+    """The template as a regular expression over words that each follow a blank, with a blank at the end."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup.lower()):
+        out += {"[[": "(?:", "]]": ")?"}.get(part) or (f"(?: [^ ]+){{0,{part[2:-2]}}}" if part.startswith("{{") else f" {part}")
+    return out + " "
+
+
+def oracle_sql() -> str:
+    found = ", ".join(f"case when regexp_matches(t, '{template_pattern(markup)}') then '{label}' end" for label, markup in default_templates().items())
+    score = "greatest(0.0, " + ", ".join(f"case when regexp_matches(t, '{template_pattern(markup)}') then {WEIGHT['phrase' if label in PHRASES.values() else 'text' if label in TEXTS else 'notice']} else 0.0 end" for label, markup in default_templates().items()) + ")"
+    places = " || ".join(f"list_filter(range(0, len(words) - {len(p.split()) - 1}), lambda i: words[i + 1:i + {len(p.split())}] = {p.split()!r})" for p in PHRASES)
+    names = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x is not null))), ',')"
+    base = "[" + ", ".join(f"case when regexp_matches(t, '{template_pattern(p)}') then '{label}' end" for p, label in PHRASES.items()) + "]"
+    return f"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') words from documents),
+p as (select doc_id, words, ' ' || array_to_string(words, ' ') || ' ' t, {places} places from d)
+select doc_id, cast(len(words) as bigint) n_words, cast(len(places) as bigint) n_base, list_min(places) first_word, list_max(places) last_word, {names.format(base)} base_labels, {names.format("[" + found + "]")} labels, cast({score} as double) score from p
+"""

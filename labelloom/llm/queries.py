@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from labelloom.llm.html_text import op9_html_text
-from labelloom.llm.licenses import op8_license_scan
+from labelloom.llm.licenses import op8_license_scan, oracle_sql
 from labelloom.llm.line_dedup import op5_line_dedup
 from labelloom.llm.media import op1_media_columns
 from labelloom.llm.mixing import OP7_SQL, op7_mixing
@@ -33,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_license_scan": oracle_sql(),
 }
