@@ -13,13 +13,28 @@ from labelloom.functions.keys import is_valid_key
 from labelloom.functions.text import REGION_LABELS, TextFilter, apply_all
 
 
-def previous_images(images: DataFrame, order: str = "image_id", group: str | None = None) -> DataFrame:
+def previous_images(images: DataFrame, order: str = "image_id", group: str | None = None, buckets: int | None = None) -> DataFrame:
     """Images (image_id, width, height, n_fields) with prev_image_id, prev_width, prev_height: of the last image
-    before it that had a field. group: a column that splits the order (a slide box, a project); without one, images are
-    put in one order, which is one task's work over these few columns."""
-    window = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before it, by a numeric order, that had a field. group: a column that splits the order (a slide box, a project).
+
+    Without a group all images are one order. It is cut into buckets at quantiles: each bucket looks back within itself,
+    and for its first images to the last one of the buckets before, of which there is one row each.
+    """
     had = F.when(F.col("n_fields") > 0, F.struct(F.col("image_id").alias("id"), F.col("width").alias("w"), F.col("height").alias("h")))
-    return images.withColumn("p", F.last(had, ignorenulls=True).over(window)).select("*", F.col("p.id").alias("prev_image_id"), F.col("p.w").alias("prev_width"), F.col("p.h").alias("prev_height")).drop("p")
+    if group:
+        window = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        found = images.withColumn("p", F.last(had, ignorenulls=True).over(window))
+    else:
+        n = buckets or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        edges = sorted(set(images.stat.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+        bucket = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e <= F.col(order).cast("double")))
+        rows = images.withColumn("bucket", bucket)
+        lasts = rows.groupBy("bucket").agg(F.max_by(had, F.when(had.isNotNull(), F.col(order))).alias("l"))
+        before = F.last("l", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        starts = lasts.select("bucket", before.alias("start"))
+        inside = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        found = rows.withColumn("p", F.last(had, ignorenulls=True).over(inside)).join(F.broadcast(starts), "bucket").withColumn("p", F.coalesce("p", "start")).drop("bucket", "start")
+    return found.select("*", F.col("p.id").alias("prev_image_id"), F.col("p.w").alias("prev_width"), F.col("p.h").alias("prev_height")).drop("p")
 
 
 def carry_over_keys(fields: DataFrame, images: DataFrame) -> DataFrame:

@@ -148,6 +148,16 @@ def test_carry_over(spark):
     images = spark.createDataFrame([(1, 100, 100, 2), (2, 50, 50, 0), (3, 200, 200, 1)], "image_id long, width int, height int, n_fields int")
     seen = {r["image_id"]: r["prev_image_id"] for r in R.previous_images(images).collect()}
     assert seen == {1: None, 2: 1, 3: 1}
+    r = random.Random(2)
+    many = [(i, 10, 10, r.choice([0, 0, 1])) for i in r.sample(range(1000), 200)]
+    expected, last = {}, None
+    for i, _, _, n in sorted(many):
+        expected[i], last = last, i if n else last
+    df = spark.createDataFrame(many, images.schema)
+    for k in (1, 3, 50):
+        assert {x["image_id"]: x["prev_image_id"] for x in R.previous_images(df, buckets=k).collect()} == expected
+    assert {x["image_id"]: x["prev_image_id"] for x in R.previous_images(df.withColumn("g", F.lit(1)), group="g").collect()} == expected
+    assert R.previous_images(images.limit(0)).count() == 0
     schema = "image_id long, field_index int, metadata_key string, box struct<x int, y int, width int, height int>"
     fields = spark.createDataFrame([(1, 0, "", (10, 10, 20, 20)), (1, 1, "Case", (12, 12, 10, 10)), (3, 0, "field_0", (0, 0, 60, 60)), (3, 1, "field_1", (150, 150, 5, 5))], schema)
     got = {(r["image_id"], r["field_index"]): r["metadata_key"] for r in R.carry_over_keys(fields, R.previous_images(images)).collect()}
