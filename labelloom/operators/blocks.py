@@ -152,16 +152,21 @@ def dedupe_order(boxes: list[tuple[int, int, int, int]], confidences: list[float
     return out
 
 
-def dedupe_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks of an image that lie on each other are one: the most confident of those that meet it in turn. The order
-    of blocks decides, so an image's blocks (a label's few lines) are handled together; columns as they come."""
+@F.pandas_udf("array<int>")
+def kept_places(x: pd.Series, y: pd.Series, width: pd.Series, height: pd.Series, confidence: pd.Series) -> pd.Series:
+    return pd.Series([dedupe_order(list(zip(*sides)), list(c)) for *sides, c in zip(x, y, width, height, confidence)], dtype=object)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block_idx", kind="stable")
-        boxes = [(b["x"], b["y"], b["width"], b["height"]) if isinstance(b, dict) else tuple(b) for b in group["box"]]
-        return group.iloc[dedupe_order(boxes, list(group["confidence"]))]
 
-    return blocks.groupBy("image_id").applyInPandas(one, blocks.schema)
+def dedupe_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of an image that lie on each other are one: the most confident of those that meet it in turn. The order
+    of blocks decides, so an image's blocks (a label's few lines) are handled together, as arrays; columns as they come.
+    Blocks without a box are never on another."""
+    others = [c for c in blocks.columns if c not in ("image_id", "block_idx")]
+    packed = blocks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", *others))).alias("rows"))
+    side = lambda c: F.transform("rows", lambda r: F.coalesce(r["box"][c], F.lit(0)))
+    kept = kept_places(side("x"), side("y"), side("width"), side("height"), F.transform("rows", lambda r: r["confidence"]))
+    chosen = packed.select("image_id", "rows", kept.alias("kept")).select("image_id", F.inline(F.transform("kept", lambda i: F.get("rows", i))))
+    return chosen.select(*blocks.columns)
 
 
 def dedupe_lines(blocks: DataFrame) -> DataFrame:
