@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from labelloom.functions import geometry as G
 from labelloom.functions.text import control_trim, is_blank
@@ -152,7 +153,7 @@ def dedupe_order(boxes: list[tuple[int, int, int, int]], confidences: list[float
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def kept_places(x: pd.Series, y: pd.Series, width: pd.Series, height: pd.Series, confidence: pd.Series) -> pd.Series:
     return pd.Series([dedupe_order(list(zip(*sides)), list(c)) for *sides, c in zip(x, y, width, height, confidence)], dtype=object)
 
