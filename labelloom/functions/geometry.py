@@ -135,3 +135,12 @@ def quadrants(image_width: Column, image_height: Column, least_side: int = 300,
     large = (image_width > least_side) & (image_height > least_side)
     none = F.array().cast(f"array<{BOX}>")
     return F.when(large, F.filter(F.array(*tiles), lambda t: (t["width"] >= least_tile) & (t["height"] >= least_tile))).otherwise(none)
+
+
+def selected_box(x0: Column, y0: Column, x1: Column, y1: Column, shown_width: Column, shown_height: Column, image_width: Column, image_height: Column, least_side: int = 5) -> Column:
+    """Two corners on a shown image, in the image's own pixels; null for a side under least_side."""
+    scale = F.least(shown_width / image_width.cast("double"), shown_height / image_height.cast("double"))
+    x, y = (F.greatest(F.lit(0.0), F.least(a, b) / scale).cast("int") for a, b in ((x0, x1), (y0, y1)))
+    w = F.least((image_width - x).cast("double"), F.abs(x1 - x0) / scale).cast("int")
+    h = F.least((image_height - y).cast("double"), F.abs(y1 - y0) / scale).cast("int")
+    return F.when((w >= least_side) & (h >= least_side), box(x, y, w, h))
