@@ -79,7 +79,9 @@ def meetings(nodes: DataFrame) -> DataFrame:
         # If two halves differ in one bit, it is clear in one of them.
         return F.transform(F.concat(F.array(half), flips(half, range(32), clear_only=True)), lambda x: F.struct(F.lit(high).alias("high"), x.alias("half")))
 
-    emitted = nodes.select("fp", F.explode(F.concat(variants(True), variants(False))).alias("v")).select("fp", "v.high", "v.half")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.repartition(parts, F.xxhash64("fp"))  # few bytes come in, many rows go out: as many tasks as the shuffle has
+    emitted = spread.select("fp", F.explode(F.concat(variants(True), variants(False))).alias("v")).select("fp", "v.high", "v.half")
     met = emitted.groupBy("high", "half").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a <> b").select("high", "half", "n")
     return emitted.join(met, ["high", "half"])
 
@@ -97,7 +99,7 @@ def links_of(nodes: DataFrame) -> DataFrame:
     met = checkpoint(meetings(nodes))
     many = met.where(F.col("n") > FEW).select("fp").distinct()
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return near_pairs(met.where(F.col("n") <= FEW)).unionByName(stars(many.repartition(parts, "fp"))).distinct()
+    return near_pairs(met.where(F.col("n") <= FEW)).unionByName(stars(many.repartition(parts, F.xxhash64("fp")))).distinct()
 
 
 def stars(nodes: DataFrame) -> DataFrame:
