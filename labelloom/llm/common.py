@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that are Python objects at once.
+ROWS = 1024
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -62,8 +65,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
-                pa.default_memory_pool().release_unused()
+            for at in range(0, batch.num_rows, ROWS):
+                yield one(batch.slice(at, ROWS))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

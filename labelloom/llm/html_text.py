@@ -15,7 +15,9 @@ an empty result; columns other than page_id, url and html are not read.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Callable
 from html import unescape
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import map_batches, table
+from labelloom.llm.common import checkpoint, map_batches, table
 
 LONG = 4
 COVERED = 0.8
@@ -41,14 +43,18 @@ MAIN_TAGS = frozenset(("article", "main"))
 FRAME_TAGS = frozenset("head nav header footer aside form button select label fieldset dialog menu option audio video".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 FRAME_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted reply replies respond related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adbox advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted reply replies respond related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 #: Names of frames that an article may have for its own title.
 OWN_NAMES = frozenset(("header", "banner", "masthead"))
 NOT_NAMES = frozenset("has no with without is".split())
 
+#: Open elements that the start of another ends, though nothing closes them; a block of another kind keeps them open.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
+ENDED = frozenset(("p", "li", "dt", "dd", "tr", "option"))
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def frame_named(value: str, inside: bool) -> bool:
@@ -125,6 +131,15 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag in VOID_TAGS or said.endswith("/") and tag not in BLOCK_TAGS:
             continue
+        if tag in BLOCK_TAGS:
+            ends = ENDS.get(tag, ("p",))
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in ends:
+                    _, place, inside, link = stack[i]
+                    del stack[i:]
+                    break
+                if stack[i][0] in BLOCK_TAGS and stack[i][0] not in ENDED:
+                    break
         stack.append((tag, place, inside, link))
         new_place, new_inside = place, inside
         names = ATTRIBUTE.findall(said) if said else ()
@@ -152,26 +167,33 @@ def stream_of(blocks: list[Block]) -> list[str]:
     return [t for b in blocks if b.place != "main" for t in tokens(b.text)]
 
 
-def main_text(blocks: list[Block], repeated: list[int], long: int = LONG) -> str:
-    """repeated: places in the page's stream where a substring of `long` tokens begins that another page has."""
+def candidates(blocks: list[Block]) -> list[dict[str, object]]:
+    """What is left to decide of each block: place, n (tokens), linked, and its text, if it may be kept at all."""
     marked = any(b.place == "main" for b in blocks)
+    return [{"place": b.place, "n": len(tokens(b.text)), "linked": b.links > LINKED * len(b.text), "text": b.text if b.place == "main" or not marked and b.place == "open" else None} for b in blocks]
+
+
+def kept_text(rows: list[dict], repeated: list[int], long: int = LONG) -> str:
+    """repeated: places in the page's stream where a substring of `long` tokens begins that another page has."""
     covered: set[int] = {p + k for p in repeated for k in range(long)}
     kept, at = [], 0
-    for b in blocks:
-        if b.place == "main":
-            kept.append(b.text)
+    for b in rows:
+        if b["place"] == "main":
+            kept.append(b["text"])
             continue
-        n = len(tokens(b.text))
+        n = b["n"]
         shared = sum(i in covered for i in range(at, at + n)) if covered else 0
         at += n
-        if shared >= COVERED * n and (b.place == "frame" or n < PROSE):
-            continue
-        if marked or b.place == "frame" or b.links > LINKED * len(b.text):
-            continue
-        kept.append(b.text)
+        boilerplate = shared >= COVERED * n and (b["place"] == "frame" or n < PROSE)
+        if not boilerplate and b["text"] is not None and not b["linked"]:
+            kept.append(b["text"])
     return "\n\n".join(kept)
 
 
+def main_text(blocks: list[Block], repeated: list[int], long: int = LONG) -> str:
+    return kept_text(candidates(blocks), repeated, long)
+
+
 def keyed(pages: DataFrame) -> DataFrame:
     """page, host, page_id, url, html; page: a hash of the whole row, so that rows with one page_id stay apart."""
     few = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -197,23 +219,34 @@ def suffixes(pages: DataFrame, long: int = LONG) -> DataFrame:
 def repeated_places(pages: DataFrame, long: int = LONG) -> DataFrame:
     """page, repeated: sorted places of its stream where a substring begins that a distinct page of the host has."""
     found = suffixes(pages, long)
-    shared = found.groupBy("head").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("head")
+    # Written out, so that the join shuffles it plainly and a frequent head's rows can be split over tasks.
+    shared = checkpoint(found.groupBy("head").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("head"))
     return found.join(shared, "head").groupBy("page").agg(F.array_sort(F.collect_set("at")).alias("repeated"))
 
 
 def extract_text(pages: DataFrame, long: int = LONG) -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars. Pages are parsed where they are read; what is shuffled to meet their repeats is the
+    text that may be kept, compressed page by page (Spark's own codec finds little to save in prose)."""
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def parse() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [zlib.compress(json.dumps(candidates(blocks_of(html)), ensure_ascii=False).encode("utf-8", "surrogatepass"), 4) for html in batch.column(3).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.binary())], names=["page", "page_id", "url", "rows"])
+
+        return one
+
+    def keep() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [main_text(blocks_of(html), at or [], long) for html, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = [json.loads(zlib.decompress(x).decode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
+            texts = [kept_text(x, at or [], long) for x, at in zip(rows, batch.column(3).to_pylist())]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
         return one
 
     keys = keyed(pages)
-    joined = keys.join(repeated_places(keys, long), "page", "left").select("page_id", "url", "html", "repeated")
-    return map_batches(joined, make, "page_id long, url string, text string, n_chars long")
+    parsed = map_batches(keys.select("page", "page_id", "url", "html"), parse, "page long, page_id long, url string, rows binary")
+    joined = parsed.join(repeated_places(keys, long), "page", "left").select("page_id", "url", "rows", "repeated")
+    return map_batches(joined, keep, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

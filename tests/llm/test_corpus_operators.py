@@ -339,6 +339,7 @@ def test_main_text():
     assert html_text.main_text(blocks, []) == "Title & more\n\nOne two three <b> four\n\nFive.\n\na\n\nb"
     assert html_text.main_text(html_text.blocks_of(""), []) == "" and html_text.blocks_of("<p") == []
     assert html_text.main_text(html_text.blocks_of("<article><p>cut off &am"), []) == "cut off &am"
+    assert html_text.main_text(html_text.blocks_of("<p title='is hidden here' class=x>Shown &#x41;&eacute;<script>no</script> <br/>text</p><p hidden>not<p><b>shown"), []) == "Shown Aé text\n\nshown"
     assert html_text.main_text(html_text.blocks_of("<div class='page with-sidebar'><p>Plain text of a page.</p><div class=sidebar>side</div></div>"), []) == "Plain text of a page."
 
 
