@@ -224,15 +224,16 @@ def test_line_dedup(spark):
     group |= {x: "z" for x in lines if len(x) >= 1000}
     degree = Counter(long[k] for pair in links for k in pair)
     degree |= {x: 1 for x in lines if len(x) >= 1000}
-    seen, expected = set(), {}
+    seen, expected = {}, {}
     for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
         places = [(at, strip(x)) for at, x in enumerate((t or "").split("\n")) if strip(x)]
-        dropped = []
+        dropped, holders = [], set()
         for at, x in places:
             if group[x] in seen:
                 dropped.append(at)
-            seen.add(group[x])
-        expected[i] = (len(places), len(dropped), sum(degree[x] for _, x in places), ",".join(map(str, dropped)))
+                holders.add(seen[group[x]])
+            seen.setdefault(group[x], i)
+        expected[i] = (len(places), len(dropped), sum(degree[x] for _, x in places), ",".join(map(str, dropped)), sorted(holders))
     df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, line string")
     line_dedup_table = line_dedup.table
     try:
