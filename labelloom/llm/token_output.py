@@ -31,7 +31,7 @@ BLOCK = 1024
 PERCENTILE = 0.95
 END_ID = 2
 FILE_TOKENS = 4_000_000
-CACHE = 400_000
+CACHE = 500_000
 #: Blocks that are packed at once.
 AT_ONCE = 512
 TOKENIZER = "byte_bpe_50k.json"
