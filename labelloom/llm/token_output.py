@@ -12,6 +12,7 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -224,11 +225,18 @@ def default_tokenizer() -> str:
 # ---------------------------------------------------------------- files
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI that means the same to Spark and to pyarrow: a bare path is in Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def put(folder: str, name: str, data: bytes) -> None:
     """Writes beside the place and moves: a second attempt of a task replaces the file by an equal one."""
     from pyarrow import fs
 
-    files, path = fs.FileSystem.from_uri(folder)
+    files, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
     files.create_dir(path, recursive=True)
     temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
     with files.open_output_stream(temporary) as out:
@@ -246,6 +254,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     mount, hdfs, s3). The texts are shuffled once by ranges of doc_id; a range holds no more than file_tokens ids
     (and its last document) in memory."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -299,7 +308,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     starts = manifest.select(F.col("file"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("file_start"))
     if manifest.isEmpty():
         return spark.createDataFrame([], "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.pfor").load(folder).select("path", "content").mapInArrow(read, schema)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.pfor").load(qualified(spark, folder)).select("path", "content").mapInArrow(read, schema)
     return rows.join(starts, "file").select("file", "doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -209,8 +209,9 @@ def test_token_files(docs):
     assert token_output.token_output(docs.limit(0)).count() == 0
 
 
-def test_small_files(spark, docs, tmp_path):
-    folder = f"file://{tmp_path}/files"
+@pytest.mark.parametrize("scheme", ["file://", "file:", ""])
+def test_small_files(spark, docs, tmp_path, scheme):
+    folder = f"{scheme}{tmp_path}/files"
     manifest = token_output.write_token_files(docs, folder, file_tokens=10)
     assert manifest.count() > 3 and manifest.agg(F.sum("n_docs")).first()[0] == len(TEXTS)
     rows = token_output.read_token_files(spark, folder, manifest).orderBy("start").collect()
