@@ -16,7 +16,6 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -156,32 +155,38 @@ class Pieces(dict):
         self.whole.encode_special_tokens = True
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.model = self.whole.model
+        self.tokenize = self.model.tokenize
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
         # The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for those from 256 on.
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = (x for x in range(256) if x not in set(seen))
         self.letters = {x: chr(x) for x in seen} | {x: chr(256 + i) for i, x in enumerate(other)}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        self.line = array("I", self.whole.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.line = self.ids("Ċ")
+
+    def ids(self, pretoken: str) -> bytes:
+        of = self.bytes_of
+        return b"".join([of[x.id] for x in self.tokenize(pretoken)])
 
     def word(self, text: str, lead: str) -> bytes:
         """ids of a run of no white space. Letters, and what marks follow them, are two pre-tokens: the letters go
         straight to the model. Runs of other kinds go through the library's own split."""
         letters = text.rstrip(MARKS)
         if not letters.isalpha():
-            return array("I", [x.id for part, _ in self.split(" " * len(lead) + text) for x in self.model.tokenize(part)]).tobytes()
+            return b"".join([self.ids(part) for part, _ in self.split(" " * len(lead) + text)])
         tail = text[len(letters) :]
         if tail and lead:
             return self[letters] + self.marks(tail)
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [x.id for x in self.model.tokenize(lead + letters)]).tobytes()
+        ids = self.ids(lead + letters)
         return ids + self.marks(tail) if tail else ids
 
     def marks(self, tail: str) -> bytes:
         out = self.tails.get(tail)
         if out is None:
-            out = self.tails[tail] = array("I", [x.id for x in self.model.tokenize(tail)]).tobytes()
+            out = self.tails[tail] = self.ids(tail)
             if len(self.tails) > 10_000:
                 self.tails.clear()
         return out
@@ -189,7 +194,13 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = self.line + self.word(piece[1:], "") if piece[:1] == "\n" else self.word(piece, SPACE)
+            if piece.isascii() and piece.isalpha():  # most are: straight to the model
+                of = self.bytes_of
+                out = b"".join([of[x.id] for x in self.tokenize(SPACE + piece)])
+            elif piece[:1] == "\n":
+                out = self.line + self.word(piece[1:], "")
+            else:
+                out = self.word(piece, SPACE)
         self[piece] = out
         return out
 
