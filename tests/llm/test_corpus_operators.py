@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash
+from labelloom.llm import decontaminate, html_text, line_dedup, mixing, near_copies, quality, simhash
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -95,6 +95,64 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
+# ---------------------------------------------------------------- near copies
+
+
+def brute_sets(texts, width=5):
+    w = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(x[i : i + width]) for i in range(max(1, len(x) - width + 1))} if x else set() for x in w]
+
+
+def brute_firsts(rows):
+    """Places of the rows that stay: brute-force Jaccard over all pairs."""
+    sets = brute_sets([t for _, t in rows])
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group = classes(len(rows), links)
+    best = {}
+    for i, g in enumerate(group):
+        key = (rows[i][0] is None, rows[i][0] or 0)
+        best[g] = min(best.get(g, (key, i)), (key, i))
+    return {i for _, i in best.values()}, len(links)
+
+
+def test_near_copies(spark):
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for _ in range(40):
+        base = [r.choice(vocab) for _ in range(r.choice((3, 5, 9, 40, 200)))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append(" ".join(w))
+    base = [r.choice(vocab) for _ in range(120)]
+    for _ in range(90):  # a crowd on which two centres don't decide
+        w = list(base)
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append(" ".join(w))
+    rows += ["", None, "one", "One", "a b c"]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(rows)]
+    rows += [(rows[0][0], "another text of the same id that nothing else has"), (None, rows[5][1]), (None, "two rows without an id, the first of them"), (None, "and quite another one, with other words in it")]
+    stay, n_links = brute_firsts(rows)
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    kept = near_copies.keep_first_similar(df.unionByName(df.where("place = 2")))
+    assert kept.columns == df.columns and n_links > 300
+    assert sorted(x["place"] for x in kept.collect()) == sorted(stay)
+    assert near_copies.keep_first_similar(df.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    edited = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 10 of 96 shingles differ: similarity 86 / 106
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "other " * 9)], "doc_id long, text string")
+    assert bin(simhash.fingerprint(" ".join(words).encode()) ^ simhash.fingerprint(" ".join(edited).encode())).count("1") > 3
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
 # ---------------------------------------------------------------- SimHash
 
 
