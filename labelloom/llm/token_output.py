@@ -5,7 +5,8 @@ minimum is subtracted; the rest is packed at the width that holds the PERCENTILE
 stand in an exception list (positions and values). An index of block starts and a table of documents (id, length)
 close the file, so one block or one document can be read without the rest.
 
-Null texts are empty texts; an empty document is its end id alone; documents with a null doc_id come first; equal
+In op10 and in the pipeline the content of an added token, as '<|endoftext|>', is that token's id; the operator's
+default takes it for plain characters. Null texts are empty texts; an empty document is its end id alone; documents with a null doc_id come first; equal
 doc_ids follow each other in the order of their texts. An empty table gives no file and no row. Columns other than
 doc_id and text are not read.
 """
@@ -148,11 +149,12 @@ def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
 class Pieces(dict):
     """ids (little-endian bytes) of the pieces between spaces; keeps the last two generations of at most CACHE."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()] if added else []
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.model = self.whole.model
         self.tokenize = self.model.tokenize
@@ -206,7 +208,8 @@ class Pieces(dict):
 
     def encode(self, text: str) -> bytes:
         """A space before a non-space begins a pre-token, and so does a line feed between non-spaces: where all white
-        space is of these two kinds, pieces can be encoded alone. Other texts go through the library whole."""
+        space is of these two kinds, pieces can be encoded alone. Other texts go through the library whole, and so do those
+        that hold an added token's content, if that is to be one id wherever it stands."""
         if not text:
             return b""
         if len(self) > CACHE:
@@ -216,15 +219,15 @@ class Pieces(dict):
             odd = any(x in text for x in ODD) or text[0] in " \n" or text[-1] in " \n"
         else:
             odd = len(text.split()) != text.count(" ") + text.count("\n") + 1
-        if odd:
+        if odd or any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.word(first, "") + b"".join(map(self.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(path: str, added: bool = False) -> Pieces:
+    return Pieces(path, added)
 
 
 def default_tokenizer() -> str:
@@ -259,11 +262,11 @@ def put(folder: str, name: str, data: bytes) -> None:
         files.move(temporary, f"{path}/{name}")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, added: bool = False) -> DataFrame:
     """Writes part-<partition>-<sequence>.pfor files under folder, in ascending order of doc_id over all files. Returns
     the manifest: part, seq, file, n_docs, n_tokens. folder: a URI that pyarrow opens on executors (file on a shared
     mount, hdfs, s3). The texts are shuffled once by ranges of doc_id; a range holds no more than file_tokens ids
-    (and its last document) in memory."""
+    (and its last document) in memory. added: see token_output."""
     spark = docs.sparkSession
     folder = qualified(spark, folder)
     path = tokenizer or default_tokenizer()
@@ -272,7 +275,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, out = TaskContext.get().partitionId(), pieces(path), []
+        part, encoder, out = TaskContext.get().partitionId(), pieces(path, added), []
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         size = 0
@@ -323,13 +326,14 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return rows.join(starts, "file").select("file", "doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
-    """Writes docs as token files and returns doc_id, start, n_tokens, ids_crc32 as read back from them, and the file."""
+def token_output(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, added: bool = False) -> DataFrame:
+    """Writes docs as token files and returns doc_id, start, n_tokens, ids_crc32 as read back from them, and the file.
+    added: the content of an added token is that token's id, as in the library's own encode; else plain characters."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    manifest = write_token_files(docs, folder, tokenizer)
+    manifest = write_token_files(docs, folder, tokenizer, added=added)
     return read_token_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "file")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(table(spark, sf_dir, "documents"))
+    return token_output(table(spark, sf_dir, "documents"), added=True)

@@ -209,6 +209,20 @@ def test_token_files(docs):
     assert token_output.token_output(docs.limit(0)).count() == 0
 
 
+def test_added_tokens(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(token_output.default_tokenizer())  # as it comes
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "two words <|endoftext|> and\nmore<|endoftext|>", "é <|endoftext|>\n\n x", "<|endoftext| >", "plain"]
+    ids = [encoder.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids[0] == [64, 50256, 65]
+    pieces = token_output.Pieces(token_output.default_tokenizer(), added=True)
+    assert [np.frombuffer(pieces.encode(x), "<u4").tolist() for x in texts] == ids
+    monkeypatch.setattr(token_output, "table", lambda *a: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = token_output.op10_token_output(spark, "").orderBy("doc_id").collect()
+    assert [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(sum(len(y) + 1 for y in ids[:i]), len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 @pytest.mark.parametrize("scheme", ["file://", "file:", ""])
 def test_small_files(spark, docs, tmp_path, scheme):
     folder = f"{scheme}{tmp_path}/files"
