@@ -268,6 +268,15 @@ def test_segments_meet():
     assert [int(x) & (2**64 - 1) for x in line_dedup.parities(lines)] == [line_dedup.parity(x) for x in lines]
 
 
+def test_links_of_short_lines(spark):
+    r = random.Random(9)
+    lines = sorted({"".join(r.choice("abcdé") for _ in range(r.randint(1, 12))) for _ in range(150)} | {"Atonor a it.", "Anor a it.", "a", "b", "ab", "xy", "é"})
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    got = {(x["a"], x["b"], x["distance"]) for x in line_dedup.line_links(df, df).collect()}
+    assert got == {(i, j, d) for j in range(len(lines)) for i in range(j) if (d := distance(lines[i], lines[j])) <= 2}
+    assert len(got) > 100
+
+
 def test_line_dedup(spark):
     r = random.Random(6)
     base = ["".join(r.choice("abcdefé ") for _ in range(r.randint(5, 60))).strip() or "x" for _ in range(40)]
