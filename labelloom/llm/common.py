@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir")
     if given is None:
         given = getattr(sc, "_labelloom_checkpoint_dir", None)
         if given is None:
+            if not re.match(r"local($|\[)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
             given = "file://" + tempfile.mkdtemp(prefix="labelloom-")
             sc._labelloom_checkpoint_dir = given
             sc.setCheckpointDir(given)
@@ -46,6 +49,31 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row: with doc_id, it tells rows apart that differ in any column."""
+    return F.xxhash64(*(F.to_json(c) if kind.startswith("map") else df[c] for c, kind in df.dtypes))
+
+
+def is_row(docs: DataFrame, rows: DataFrame) -> Column:
+    """Does a row of docs stand in rows (doc_id, row)?"""
+    return docs["doc_id"].cast("long").eqNullSafe(rows["doc_id"]) & (row_hash(docs) == rows["row"])
+
+
+def firsts_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """docs without the rows that aren't the first of their class by doc_id (null last) and row; columns as they are.
+    classed: doc_id, row, class, for each row of docs. Of rows that are equal in all columns one stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = classed.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
+    placed = checkpoint(classed.join(first, "class").select("doc_id", "row", (order == F.col("first")).alias("is_first")))
+    gone = placed.where("not is_first").select("doc_id", "row").distinct()
+    kept = docs.join(gone, is_row(docs, gone), "left_anti")
+    repeated = placed.where("is_first").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, is_row(kept, repeated), "left_semi").dropDuplicates()
+    return kept.join(repeated, is_row(kept, repeated), "left_anti").unionByName(once)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

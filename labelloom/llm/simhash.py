@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import checkpoint, map_batches, table, text_or_empty, utf8
+from labelloom.llm.common import checkpoint, firsts_of, map_batches, row_hash, table, text_or_empty, utf8
+from labelloom.llm.crowds import components
 
 SHINGLE = 3
 SEED = 42
@@ -52,16 +53,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a long."""
+    """doc_id, row (the row's hash), fp: the fingerprint's 64 bits as a long."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(x, shingle) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(x, shingle) for x in utf8(batch.column(2))], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "row", "fp"])
 
         return one
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), make, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), text_or_empty().alias("text")), make, "doc_id long, row long, fp long")
 
 
 def flips(value: Column, bits: range, clear_only: bool = False) -> Column:
@@ -117,55 +118,19 @@ def bit(i: Column) -> Column:
     return F.get(F.array(*(F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64))), i)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: for each node of links (a, b), the smallest node that it reaches.
-
-    Alternates large and small stars: each node's larger neighbours, then its smaller ones and itself, are linked to
-    the smallest. A round is a few aggregations and joins of links; the number of rounds grows with the logarithm of
-    the longest chain. Rounds end when no link changes, told by a sum over all links.
-    """
-    links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-
-    def total(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    last = total(links)
-    while last[0]:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        links = checkpoint(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = total(links)
-        if now == last:
-            break
-        last = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id."""
+    """doc_id, row, fp, component_id, root (the component's smallest fingerprint); a row for each row of docs."""
     prints = checkpoint(fingerprints(docs, shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links_of(nodes.select("fp")))
     of = checkpoint(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    known = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(known, "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without those that aren't the first of their component; columns as they are. Of equal rows of one doc_id,
-    and of different ones, one stays."""
-    found = checkpoint(simhash_components(docs, shingle))
-    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("extra_id")).distinct()
-    left = docs.join(extra, docs["doc_id"] == extra["extra_id"], "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("repeated_id"))
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, left["doc_id"] == repeated["repeated_id"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, left["doc_id"] == repeated["repeated_id"], "left_anti").unionByName(once)
+    """The first row of each component, as of firsts_of."""
+    return firsts_of(docs, checkpoint(simhash_components(docs, shingle)).select("doc_id", "row", F.col("root").alias("class")))
 
 
 def hex_digits(fp: Column) -> Column:

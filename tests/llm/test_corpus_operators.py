@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.llm import decontaminate, html_text, line_dedup, mixing, near_copies, quality, simhash
+from labelloom.llm import crowds, decontaminate, html_text, line_dedup, mixing, near_copies, quality, simhash
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -115,7 +115,7 @@ def brute_firsts(rows):
     return {i for _, i in best.values()}, len(links)
 
 
-def test_near_copies(spark):
+def test_near_copies(spark, monkeypatch):
     r = random.Random(11)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
     rows = []
@@ -137,9 +137,11 @@ def test_near_copies(spark):
     rows += [(rows[0][0], "another text of the same id that nothing else has"), (None, rows[5][1]), (None, "two rows without an id, the first of them"), (None, "and quite another one, with other words in it")]
     stay, n_links = brute_firsts(rows)
     df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
-    kept = near_copies.keep_first_similar(df.unionByName(df.where("place = 2")))
-    assert kept.columns == df.columns and n_links > 300
-    assert sorted(x["place"] for x in kept.collect()) == sorted(stay)
+    for tile in (crowds.TILE, 5):
+        monkeypatch.setattr(crowds, "TILE", tile)
+        kept = near_copies.keep_first_similar(df.unionByName(df.where("place = 2")))
+        assert kept.columns == df.columns and n_links > 300
+        assert sorted(x["place"] for x in kept.collect()) == sorted(stay)
     assert near_copies.keep_first_similar(df.limit(0)).count() == 0
 
 
@@ -209,7 +211,7 @@ def test_links_of_crowds(spark, monkeypatch, few):
     least = {}
     for i, g in enumerate(group):
         least[g] = min(least.get(g, 2**63), s[i])
-    found = simhash.components(simhash.links_of(spark.createDataFrame([(x,) for x in s], "fp long"))).collect()
+    found = crowds.components(simhash.links_of(spark.createDataFrame([(x,) for x in s], "fp long"))).collect()
     roots = {r["node"]: r["root"] for r in found}
     assert all(roots.get(x, x) == least[group[i]] for i, x in enumerate(s))
 
@@ -217,8 +219,8 @@ def test_links_of_crowds(spark, monkeypatch, few):
 def test_components_of_a_chain(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (201, 200), (200, 201)], "a long, b long")
-    assert {r["node"]: r["root"] for r in simhash.components(links).collect()} == {**{i: 0 for i in range(1, n + 1)}, 201: 200}
-    assert simhash.components(links.limit(0)).count() == 0
+    assert {r["node"]: r["root"] for r in crowds.components(links).collect()} == {**{i: 0 for i in range(1, n + 1)}, 201: 200}
+    assert crowds.components(links.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- lines
@@ -254,6 +256,9 @@ def test_within():
         b = edited(r, a, r.randint(0, 4)) if a and r.random() < 0.6 else "".join(r.choice("ab") for _ in range(r.randint(0, 8)))
         for t in (0, 1, 2, 3):
             assert line_dedup.within(a, b, t) == min(distance(a, b), t + 1), (a, b, t)
+            if a and b:
+                places, linked = line_dedup.comparing(t)()([a.encode()], [b.encode()])
+                assert [linked(i, j) for i, j in places] in ([distance(a, b) <= t], [] if distance(a, b) > t else None)
 
 
 def test_segments_meet():
@@ -268,13 +273,36 @@ def test_segments_meet():
     assert [int(x) & (2**64 - 1) for x in line_dedup.parities(lines)] == [line_dedup.parity(x) for x in lines]
 
 
-def test_links_of_short_lines(spark):
+def line_groups(spark, lines):
+    """Brute force and found classes of the lines, as the least place in each."""
+    links = [(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and distance(lines[i], lines[j]) <= 2]
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    roots = {x["node"]: x["root"] for x in line_dedup.line_roots(df, df).collect()}
+    group, least = classes(len(lines), links), {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    return [least[g] for g in group], [roots.get(i, i) for i in range(len(lines))], len(links)
+
+
+@pytest.mark.parametrize("few", [32, 2])
+def test_classes_of_short_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(crowds.meeting_roots, "__defaults__", (few,))
+    monkeypatch.setattr(crowds, "TILE", 7)
     r = random.Random(9)
-    lines = sorted({"".join(r.choice("abcdé") for _ in range(r.randint(1, 12))) for _ in range(150)} | {"Atonor a it.", "Anor a it.", "a", "b", "ab", "xy", "é"})
-    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
-    got = {(x["a"], x["b"], x["distance"]) for x in line_dedup.line_links(df, df).collect()}
-    assert got == {(i, j, d) for j in range(len(lines)) for i in range(j) if (d := distance(lines[i], lines[j])) <= 2}
-    assert len(got) > 100
+    lines = sorted({"".join(r.choice("abcdefghijklmé") for _ in range(r.randint(1, 12))) for _ in range(150)} | {"Atonor a it.", "Anor a it.", "a", "b", "ab", "xy", "é"})
+    expected, found, n = line_groups(spark, lines)
+    assert found == expected and n > 50
+
+
+def test_classes_of_crowds(spark, monkeypatch):
+    """Lines that share two thirds: some are edits of one another, many are not; and a crowd of edits of one line."""
+    monkeypatch.setattr(crowds, "TILE", 16)
+    r = random.Random(5)
+    lines = {"the same beginning of it " + "".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(150)}
+    base = "a line that stands nearly everywhere, edited a little"
+    lines |= {edited(r, base, 1).strip() for _ in range(150)} | {edited(r, edited(r, base, 2), 2).strip() for _ in range(60)}
+    expected, found, n = line_groups(spark, sorted(lines))
+    assert found == expected and n > 1000 and 100 < len(set(expected)) < len(lines) - 100
 
 
 def test_line_dedup(spark):
@@ -283,40 +311,40 @@ def test_line_dedup(spark):
     pool = base + [edited(r, b, r.randint(1, 3)) for b in base for _ in range(3)]
     docs = [(i, "\n".join(r.choice(pool) + r.choice(["", " ", "\t"]) for _ in range(r.randint(0, 8)))) for i in range(50)]
     docs += [(50, None), (51, ""), (52, "\n \n"), (53, "z" * 100_000), (54, "z" * 100_001), (None, base[0])]
+    docs += [docs[3], docs[3], (60, "a row that is there twice\n\nand its second line"), (60, "a row that is there twice\n\nand its second line"), (60, "another text of that document")]
     strip = lambda s: s.strip(" \t\n\v\f\r")
     lines = sorted({strip(x) for _, t in docs for x in (t or "").split("\n")} - {""})
     long = [x for x in lines if len(x) < 1000]
-    links = [(i, j) for i, a in enumerate(long) for j, b in enumerate(long[:i]) if min(len(a), len(b)) >= line_dedup.SHORT and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    links = [(i, j) for i, a in enumerate(long) for j, b in enumerate(long[:i]) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
     group = dict(zip(long, classes(len(long), links)))
     group |= {x: "z" for x in lines if len(x) >= 1000}
-    degree = Counter(long[k] for pair in links for k in pair)
-    degree |= {x: 1 for x in lines if len(x) >= 1000}
-    seen, expected = {}, {}
-    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+    size = Counter(group.values())
+    df = spark.createDataFrame([(i, t, "clash", n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, dropped_at string, row int")
+    df = df.withColumn("row", F.lit(0))
+    order = {(x["doc_id"], x["text"]): x["h"] for x in df.select("doc_id", "text", line_dedup.row_hash(df).alias("h")).collect()}
+    seen, expected, cut = {}, [], []
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, order[d])):
         places = [(at, strip(x)) for at, x in enumerate((t or "").split("\n")) if strip(x)]
         dropped, holders = [], set()
         for at, x in places:
             if group[x] in seen:
                 dropped.append(at)
-                holders.add(seen[group[x]])
+                holders |= {seen[group[x]]} - {None}
             seen.setdefault(group[x], i)
-        expected[i] = (len(places), len(dropped), sum(degree[x] for _, x in places), ",".join(map(str, dropped)), sorted(holders))
-    df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, line string")
+        expected.append((i, len(places), len(dropped), sum(size[group[x]] - 1 for _, x in places), ",".join(map(str, dropped)), sorted(holders)))
+        cut.append((i, None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in dropped)))
     line_dedup_table = line_dedup.table
     try:
         line_dedup.table = lambda *a: df
-        got = {x["doc_id"]: tuple(x)[1:] for x in line_dedup.op5_line_dedup(spark, "").collect()}
+        got = [tuple(x) for x in line_dedup.op5_line_dedup(spark, "").collect()]
         line_dedup.table = lambda *a: df.limit(0)
         assert line_dedup.op5_line_dedup(spark, "").count() == 0
     finally:
         line_dedup.table = line_dedup_table
-    assert got == expected and len(links) > 30
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and len(links) > 30
     out = line_dedup.dedup_lines(df)
-    assert out.columns == df.columns and out.where("line = 'clash'").count() == len(docs)
-    kept = {x["doc_id"]: x["text"] for x in out.collect()}
-    for i, t in docs:
-        gone = {int(x) for x in expected[i][3].split(",") if x}
-        assert kept[i] == (None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone))
+    assert out.columns == df.columns and out.where("dropped_at = 'clash'").count() == len(docs)
+    assert sorted(map(str, cut)) == sorted(str((x["doc_id"], x["text"])) for x in out.collect())
 
 
 # ---------------------------------------------------------------- mixing
