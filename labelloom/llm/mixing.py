@@ -6,11 +6,16 @@ slot of a source takes the r-th block of its line. The last block is cut where t
 what is taken differs from the target by less than a word.
 
 Places in a line are sums over buckets of the hash's range plus sums inside a bucket; ranks of slots are sums over
-chunks of slots plus ranks inside a chunk: no source is held or sorted in one task.
+chunks of slots plus ranks inside a chunk: no source is held or sorted in one task. The hash is that of the epoch, the
+doc_id, the text and the number of the copy, so that rows without a doc_id spread like all others.
 
-A null text has size 0, and is never taken. A null source is a source of its own, the last. Repeated rows stand in the
-line as often as they are there. An empty table, or one without words, gives targets 0 and nothing taken. Columns other
-than doc_id, source and text are not read.
+How much is taken of a document follows from its place in line and the target; when it is, from the schedule: `slot` is
+the first slot that takes a part of it. mixed_rows() returns the amounts as rows; rows have no order, so who wants to
+read in the mix's order sorts by the slots of mix_documents().
+
+A null text has size 0, and is never taken. A null source is a source of its own, the last. Rows are told apart by all
+their columns; equal rows stand in the line as often as they are there. An empty table, or one without words, gives
+targets 0 and nothing taken. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import checkpoint, table, text_or_empty
+from labelloom.llm.common import checkpoint, row_hash, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2048
@@ -61,9 +66,9 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
 
 
 def row_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash, size, copies: a row for each distinct of them."""
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    return few.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("copies"))
+    """doc_id, source, row (the row's hash), digest (the text's), size, copies: for all that are equal in all columns."""
+    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), row_hash(docs).alias("row"), F.md5(docs["text"].cast("string")).alias("digest"), F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    return few.groupBy("doc_id", "source", "row", "digest", "size").agg(F.count("*").alias("copies"))
 
 
 def sources(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[Source]:
@@ -87,12 +92,12 @@ def lines(sizes: DataFrame, known: DataFrame, epochs: int = MOST) -> DataFrame:
     each = sizes.where("size > 0").join(F.broadcast(known), sizes["source"].eqNullSafe(known["source"])).drop(known["source"])
     each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     each = each.where(F.col("epoch") * F.col("source_size") < F.col("goal"))
-    each = each.withColumn("mark", F.md5(F.concat_ws(":", "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    each = each.withColumn("mark", F.md5(F.concat_ws(":", "epoch", "doc_id", "digest", "copy")))
     each = each.withColumn("bucket", F.floor(F.conv(F.substring("mark", 1, 7), 16, 10).cast("long") * F.col("buckets") / F.lit(float(16**7))))
     key = ["source_no", "epoch", "bucket"]
     before = Window.partitionBy("source_no", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = each.groupBy(*key).agg(F.sum("size").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy(*key).orderBy("mark", "doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("mark", "doc_id", "row", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return placed.join(starts, key).withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start") + F.col("inside"))
 
@@ -143,40 +148,43 @@ def schedule(spark: SparkSession, mix: Sequence[Source], block: int = BLOCK) ->
 
 
 def mix_documents(sizes: DataFrame, mix: Sequence[Source], block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """The mix: slot, source_no, doc_id, source, text_hash, copy, epoch, size, first_word (in the document), n_words."""
+    """The mix: slot, source_no, doc_id, source, row, copy, epoch, size, first_word (in the document), n_words."""
     spark = sizes.sparkSession
     placed = lines(sizes, source_table(spark, mix), most).where("at < goal").withColumn("end", F.least(F.col("at") + F.col("size"), F.col("goal")))
     numbers = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))
-    pieces = placed.select("source_no", "source", "doc_id", "text_hash", "copy", "epoch", "size", "at", "end", F.explode(numbers).alias("block_no"))
+    pieces = placed.select("source_no", "source", "doc_id", "row", "copy", "epoch", "size", "at", "end", F.explode(numbers).alias("block_no"))
     low, high = F.greatest("at", F.col("block_no") * block), F.least("end", (F.col("block_no") + 1) * block)
-    pieces = pieces.select("source_no", "block_no", "source", "doc_id", "text_hash", "copy", "epoch", "size", (low - F.col("at")).alias("first_word"), (high - low).alias("n_words"))
+    pieces = pieces.select("source_no", "block_no", "source", "doc_id", "row", "copy", "epoch", "size", (low - F.col("at")).alias("first_word"), (high - low).alias("n_words"))
     return schedule(spark, mix, block).join(pieces, ["source_no", "block_no"])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, source, and slot: the first slot of the schedule that takes a part of the document."""
     sizes = checkpoint(row_sizes(table(spark, sf_dir, "documents")))
     mix = sources(sizes)
-    taken = mix_documents(sizes, mix).groupBy("doc_id", "source", "text_hash", "copy").agg(F.sum("n_words").alias("taken"))
+    key = ["doc_id", "source", "row", "copy"]
+    taken = mix_documents(sizes, mix).groupBy(*key).agg(F.sum("n_words").alias("taken"), F.min("slot").alias("slot"))
     known = source_table(spark, mix).select("source", "source_size", "target")
     rows = sizes.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     rows = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["source"])).drop(known["source"])
-    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & rows["source"].eqNullSafe(taken["source"]) & (rows["text_hash"] == taken["text_hash"]) & (rows["copy"] == taken["copy"])
-    return rows.join(taken, same, "left").select(rows["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), rows["source"])
+    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & rows["source"].eqNullSafe(taken["source"]) & (rows["row"] == taken["row"]) & (rows["copy"] == taken["copy"])
+    return rows.join(taken, same, "left").select(rows["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), rows["source"], "slot")
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix as rows with the columns of docs: a document stands as often as it is taken; where only its first words
     are, its text is cut after them (and n_chars, if there is such a column, counted anew)."""
     sizes = checkpoint(row_sizes(docs))
-    taken = mix_documents(sizes, sources(sizes, weights, share, most), most=most).groupBy("doc_id", "source", "text_hash", "copy", "epoch", "size").agg(F.sum("n_words").alias("taken_words"))
-    taken = taken.select(taken["doc_id"].alias("taken_id"), taken["source"].alias("taken_source"), taken["text_hash"].alias("taken_hash"), "taken_words", (F.col("taken_words") < F.col("size")).alias("taken_part"))
-    if not sizes.where("copies > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "source", "text"])
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]) & docs["source"].eqNullSafe(taken["taken_source"]) & (F.xxhash64(docs["text"]) == taken["taken_hash"]))
-    cut = F.array_join(F.slice(F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("taken_words").cast("int")), "")
-    text = F.when(F.col("taken_part"), cut).otherwise(docs["text"])
-    new: dict[str, Callable] = {"text": lambda c: text, "n_chars": lambda c: F.when(F.col("taken_part"), F.char_length(cut).cast(dict(docs.dtypes)[c])).otherwise(docs[c])}
-    return joined.select(*(new[c](c).alias(c) if c in new else docs[c] for c in docs.columns))
+    taken = mix_documents(sizes, sources(sizes, weights, share, most), most=most).groupBy("doc_id", "source", "row", "copy", "epoch", "size").agg(F.sum("n_words").alias("n"))
+    taken = taken.select("doc_id", "source", "row", "size", F.col("n").alias("taken"))
+    if not sizes.where("copies > 1").isEmpty():  # what is taken names each copy: one row stands for those that are equal
+        docs = docs.dropDuplicates()
+    same = docs["doc_id"].cast("long").eqNullSafe(taken["doc_id"]) & docs["source"].cast("string").eqNullSafe(taken["source"]) & (row_hash(docs) == taken["row"])
+    cut = F.array_join(F.slice(F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), taken["taken"].cast("int")), "")
+    part = taken["taken"] < taken["size"]
+    text = F.when(part, cut).otherwise(docs["text"])
+    new: dict[str, Callable] = {"text": lambda c: text, "n_chars": lambda c: F.when(part, F.char_length(cut).cast(dict(docs.dtypes)[c])).otherwise(docs[c])}
+    return docs.join(taken, same).select(*(new[c](c).alias(c) if c in new else docs[c] for c in docs.columns))
 
 
 OP7_SQL = r"""
@@ -194,11 +202,30 @@ with d as (
     select cast(arg_min(total - before, before) as double) num, cast(arg_min(rest, before) as double) den from c where not above
 ), t as (
     select c.source, source_size, case when above then cast(2 * source_size as double) else w * num / den end target from c, l
+), n as (
+    select *, row_number() over (partition by doc_id, source, text) copy from documents
+), m as (
+    select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+        concat_ws(':', '0', cast(doc_id as varchar), md5(text), cast(copy as varchar)) k0, concat_ws(':', '1', cast(doc_id as varchar), md5(text), cast(copy as varchar)) k1 from n
 ), p as (
-    select d.doc_id, d.source, size, source_size, target, cast(floor(target) as bigint) goal,
-        coalesce(sum(size) over (partition by d.source order by md5('0:' || d.doc_id), d.doc_id rows between unbounded preceding and 1 preceding), 0) a,
-        coalesce(sum(size) over (partition by d.source order by md5('1:' || d.doc_id), d.doc_id rows between unbounded preceding and 1 preceding), 0) b
-    from d join t on d.source is not distinct from t.source
+    select m.doc_id, m.source, size, source_size, target, cast(floor(target) as bigint) goal,
+        coalesce(sum(size) over (partition by m.source order by md5(k0), m.doc_id rows between unbounded preceding and 1 preceding), 0) a,
+        coalesce(sum(size) over (partition by m.source order by md5(k1), m.doc_id rows between unbounded preceding and 1 preceding), 0) b
+    from m join t on m.source is not distinct from t.source
+), z as (
+    select source, row_number() over (order by source nulls last) - 1 no, cast(ceil(floor(target) / 2048) as bigint) need from t
+), e as (
+    select *, cast(sum(need) over (order by no) as double) / sum(need) over () upper_edge, cast(sum(need) over (order by no) - need as double) / sum(need) over () lower_edge, cast(sum(need) over () + 8 * count(*) over () as bigint) slots from z
+), k as (
+    select k, cast(((cast(k as hugeint) * 11400714819323198485) % 18446744073709551616) // 2048 as double) * power(2.0, -53) x from (select unnest(range(0, (select max(slots) from e))) k)
+), drawn as (
+    select source, no, need, slots, k, row_number() over (partition by no order by k) - 1 block_no from k join e on x >= lower_edge and x < upper_edge
+), late as (
+    select e.source, e.no, e.slots, unnest(range(coalesce(got, 0), need)) block_no from e left join (select no, count(*) got from drawn where block_no < need group by no) g on e.no = g.no
+), sched as (
+    select source, block_no, k slot from drawn where block_no < need
+    union all select source, block_no, slots + row_number() over (order by no, block_no) - 1 from late
 )
-select doc_id, source, size, source_size, target, cast(greatest(0, least(size, goal - a)) + greatest(0, least(size, goal - source_size - b)) as bigint) taken from p
+select doc_id, p.source, size, source_size, target, cast(greatest(0, least(size, goal - a)) + greatest(0, least(size, goal - source_size - b)) as bigint) taken, cast(slot as bigint) slot
+from p left join sched on p.source is not distinct from sched.source and size > 0 and a < goal and sched.block_no = a // 2048
 """

@@ -361,8 +361,8 @@ def test_targets():
 def test_mixing(spark):
     r = random.Random(8)
     docs = [(i, " ".join("w" for _ in range(r.choice([0, 1, 5, 40, 900]))), f"s{r.choice('aaaab')}") for i in range(300)]
-    docs += [(300, None, "sa"), (301, " a\tb\x0bc　d ", None), (302, "tiny", "é"), (5, docs[5][1], docs[5][2]), (5, "other text", "sa"), (None, "no id here", None)]
-    df = spark.createDataFrame([(i, t, s, 7, "clash") for i, t, s in docs], "doc_id long, text string, source string, n_chars long, size string")
+    docs += [(300, None, "sa"), (301, " a\tb\x0bc　d ", None), (302, "tiny", "é"), (5, docs[5][1], docs[5][2]), (5, docs[5][1], docs[5][2]), (5, "other text", "sa"), (None, "no id here", None), (None, "no id here either", "sa"), (None, "no id here either", "sa")]
+    df = spark.createDataFrame([(i, t, s, 7, "clash", n % 2, n if n < 300 else 0) for n, (i, t, s) in enumerate(docs)], "doc_id long, text string, source string, n_chars long, size string, taken_words int, row int")
     sizes = mixing.row_sizes(df)
     mix = mixing.sources(sizes)
     assert [s.name for s in mix] == ["sa", "sb", "é", None] and [s.weight for s in mix] == [3, 1, 2, 3]
@@ -376,8 +376,9 @@ def test_mixing(spark):
         for p in pieces:
             slots[p["slot"]].add(p["source_no"])
         assert all(len(s) == 1 for s in slots.values())
-    shares = Counter(next(iter(s)) for k, s in slots.items())
-    assert shares
+    first = {}
+    for p in pieces:
+        first[p["doc_id"]] = min(first.get(p["doc_id"], 10**9), p["slot"])
     old = mixing.table
     try:
         mixing.table = lambda *a: df
@@ -390,15 +391,23 @@ def test_mixing(spark):
     finally:
         mixing.table = old
     assert len(rows) == len(docs) and sorted(map(str, rows)) == sorted(map(str, again))
+    assert all(x["slot"] == first[x["doc_id"]] for x in rows if x["taken"] and x["doc_id"] not in (5, None)) and all((x["slot"] is None) == (x["taken"] == 0) for x in rows)
     assert sorted(x["size"] for x in rows) == sorted(len(re.findall("[^ \t-\r]+", t or "")) for _, t, _ in docs)
     assert all(x["taken"] <= 2 * x["size"] for x in rows)
     out = mixing.mixed_rows(df)
     assert out.columns == df.columns
-    got = Counter()
+    got, stands = Counter(), Counter()
     for x in out.collect():
         n = len(re.findall("[^ \t-\r]+", x["text"]))
         got[x["source"]] += n
+        stands[x["doc_id"], x["size"], x["taken_words"], x["row"]] += n
         assert x["n_chars"] == 7 or x["n_chars"] == len(x["text"])
+    taken = Counter()
+    for x in rows:
+        taken[x["doc_id"]] += x["taken"]
+    for (i, *_), n in stands.items():
+        taken[i] -= n
+    assert not any(taken.values())
     assert dict(got) == {s.name: int(s.target) for s in mix}
 
 
