@@ -1,16 +1,19 @@
 """Main text of web pages, by the substrings that the pages of a host share.
 
-A page is read tolerantly into blocks (runs of text between block-level tags). Blocks inside an article or main element,
-and in none of its menus, forms, notices, adverts or comments, are its main text. The tokens of all other blocks make
-the page's token stream, and the streams of a host's pages are taken together: substrings of at least LONG tokens that
-occur on distinct pages of the host are the intervals of its suffix array whose longest common prefix is LONG or more.
-They are found by grouping suffixes on their first LONG tokens, which needs no host in one place: counts merge before
-the shuffle. A block that such substrings cover is boilerplate and goes; of the blocks that remain unique, those whose
-element or class says what they are (menu, advert, footer ...) go too, and so do all on pages that mark their article.
-
-A repeat inside a marked article is never dropped: copies of an article are articles. Null html is an empty page, with
-empty text; a null url is a host of its own. Repeated rows are one page, and each gives its row. An empty table gives
-an empty result; columns other than page_id, url and html are not read.
+A page is read once, tolerantly, into blocks (runs of text between block-level tags). Blocks inside an article or main
+element, and in none of its menus, forms, notices, adverts or comments, are its main text; on a page that marks one, the
+marks decide. The tokens of all other blocks make the page's token stream, and the streams of a host's pages are taken
+together: substrings of at least LONG tokens that occur on distinct pages of the host are the intervals of its suffix
+array whose longest common prefix is LONG or more. What they cover is what windows of LONG tokens that occur on
+distinct pages cover, so suffixes are grouped on their first LONG tokens, which needs no host in one place: counts merge
+before the shuffle. On a page that marks no article, a block that such substrings cover is boilerplate and goes; of the
+blocks that remain unique, those whose element or class says what they are (menu, advert, footer ...) go too.
+
+Copies of an article are articles: pages whose most telling blocks (many tokens, on few pages of the host) are equal
+count as one page, and a repeat inside a marked article is never dropped. An article is never dropped for its own class
+names, nor for those of the page's layout or for a form around it. Null html is an empty page, with empty text; a null
+url is a host of its own. Repeated rows are one page, and each gives its row. An empty table gives an empty result;
+columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +32,6 @@ from labelloom.llm.common import checkpoint, map_batches, table
 
 LONG = 4
 COVERED = 0.8
-#: Undecided blocks of so many words stay although another page has them: prose, not a frame.
-PROSE = 50
-LINKED = 0.5
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody tfoot thead title tr ul".split()
@@ -48,6 +48,10 @@ FRAME_NAMES = frozenset(
 #: Names of frames that an article may have for its own title.
 OWN_NAMES = frozenset(("header", "banner", "masthead"))
 NOT_NAMES = frozenset("has no with without is".split())
+#: Names of frames whose articles aren't the page's: comments, teasers, adverts.
+OTHERS_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising comment comments disqus promo promoted reply replies respond related sponsor sponsored widget widgets".split())
+#: Whole class names of articles that are a reader's.
+OTHERS_ARTICLES = frozenset(("comment", "reply"))
 
 #: Open elements that the start of another ends, though nothing closes them; a block of another kind keeps them open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
@@ -57,47 +61,37 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def frame_named(value: str, inside: bool) -> bool:
-    """Does a class or id name a frame? The first part of a name, or its last, tells."""
-    for name in value.lower().split():
-        parts = re.split(r"[^a-z]+", name)
-        if parts[0] in NOT_NAMES:
-            continue
-        if any(p in FRAME_NAMES and not (inside and p in OWN_NAMES) for p in (parts[0], parts[-1])):
-            return True
-    return False
+def names_in(value: str) -> set[str]:
+    """The first and the last part of each class or id: these tell what it names."""
+    parts = [re.split(r"[^a-z]+", name) for name in value.lower().split()]
+    return {p for x in parts if x[0] not in NOT_NAMES for p in (x[0], x[-1])}
 
 
 class Block:
-    __slots__ = ("place", "text", "links")
+    __slots__ = ("place", "text")
 
-    def __init__(self, place: str, text: str, links: int):
-        self.place, self.text, self.links = place, text, links
+    def __init__(self, place: str, text: str):
+        self.place, self.text = place, text
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order; place: main, frame (an element or class says so) or open."""
+    """Blocks in page order; place: main, frame (an element or class says so), layout (a frame that an article inside
+    isn't part of: a form, or a class name of the page's layout) or open."""
     out: list[Block] = []
     pieces: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, place, inside a main element, inside a link
-    place, inside, link, links = "open", False, False, 0
+    stack: list[tuple[str, str, bool]] = []  # tag, place, inside a main element
+    place, inside = "open", False
 
     def close() -> None:
-        nonlocal links
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(place, text, links))
+                out.append(Block("frame" if place == "layout" else place, text))
             pieces.clear()
-        links = 0
 
     def put(text: str) -> None:
-        nonlocal links
         if text:
-            text = unescape(text) if "&" in text else text
-            pieces.append(text)
-            if link:
-                links += len(text)
+            pieces.append(unescape(text) if "&" in text else text)
 
     at, end = 0, len(html)
     while at < end:
@@ -117,9 +111,9 @@ def blocks_of(html: str) -> list[Block]:
         if found[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if stack[i][1:3] != (place, inside):
+                    if stack[i][1:] != (place, inside):
                         close()
-                    _, place, inside, link = stack[i]
+                    _, place, inside = stack[i]
                     del stack[i:]
                     break
             continue
@@ -135,25 +129,35 @@ def blocks_of(html: str) -> list[Block]:
             ends = ENDS.get(tag, ("p",))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
-                    _, place, inside, link = stack[i]
+                    _, place, inside = stack[i]
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCK_TAGS and stack[i][0] not in ENDED:
                     break
-        stack.append((tag, place, inside, link))
+        stack.append((tag, place, inside))
         new_place, new_inside = place, inside
-        names = ATTRIBUTE.findall(said) if said else ()
-        given = {k.lower(): a or b or c for k, a, b, c in names}
-        own_title = inside and tag == "header"
-        if tag in MAIN_TAGS or given.get("role") == "main" or given.get("itemprop") == "articleBody":
+        given = {k.lower(): a or b or c for k, a, b, c in (ATTRIBUTE.findall(said) if said else ())}
+        said_names = names_in(f"{given.get('class', '')} {given.get('id', '')}") if given and tag not in ("body", "html") else set()
+        role = given.get("role", "").lower()
+        if tag in MAIN_TAGS or role == "main" or given.get("itemprop") == "articleBody":
             new_inside = True
-            if place == "open":
+            if inside and said_names & OTHERS_NAMES:
+                new_place = "frame"
+            elif place in ("open", "layout") and not (tag == "article" and OTHERS_ARTICLES & {*given.get("class", "").lower().split()}):
                 new_place = "main"
-        if (tag in FRAME_TAGS and not own_title) or given.get("role", "").lower() in FRAME_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or tag not in ("body", "html") and any(frame_named(given.get(k, ""), new_inside) for k in ("class", "id")):
+            elif place != "main":
+                new_place = "frame"
+        elif tag in FRAME_TAGS and tag != "form" and not (inside and tag == "header") or role in FRAME_ROLES and role != "form":
+            new_place = "frame"
+        elif said_names & OTHERS_NAMES:
+            new_place = "frame"
+        elif tag == "form" or role == "form" or said_names & FRAME_NAMES - (OWN_NAMES if inside else frozenset()):
+            new_place = "layout" if place in ("open", "layout") else "frame"
+        if "hidden" in given or given.get("aria-hidden") == "true":
             new_place = "frame"
         if (new_place, new_inside) != (place, inside):
             close()
-        place, inside, link = new_place, new_inside, link or tag == "a"
+        place, inside = new_place, new_inside
     close()
     return out
 
@@ -167,26 +171,28 @@ def stream_of(blocks: list[Block]) -> list[str]:
     return [t for b in blocks if b.place != "main" for t in tokens(b.text)]
 
 
-def candidates(blocks: list[Block]) -> list[dict[str, object]]:
-    """What is left to decide of each block: place, n (tokens), linked, and its text, if it may be kept at all."""
-    marked = any(b.place == "main" for b in blocks)
-    return [{"place": b.place, "n": len(tokens(b.text)), "linked": b.links > LINKED * len(b.text), "text": b.text if b.place == "main" or not marked and b.place == "open" else None} for b in blocks]
+def candidates(blocks: list[Block]) -> list[tuple[str, int, str | None]]:
+    """What is left to decide of each block: place, tokens, and its text, if it may be kept at all."""
+    marked = is_marked(blocks)
+    return [(b.place, len(tokens(b.text)), b.text if b.place == "main" or not marked and b.place == "open" else None) for b in blocks]
+
 
+def is_marked(blocks: list[Block]) -> bool:
+    return any(b.place == "main" for b in blocks)
 
-def kept_text(rows: list[dict], repeated: list[int], long: int = LONG) -> str:
+
+def kept_text(rows: list[tuple[str, int, str | None]], repeated: list[int], long: int = LONG) -> str:
     """repeated: places in the page's stream where a substring of `long` tokens begins that another page has."""
     covered: set[int] = {p + k for p in repeated for k in range(long)}
     kept, at = [], 0
-    for b in rows:
-        if b["place"] == "main":
-            kept.append(b["text"])
+    for place, n, text in rows:
+        if place == "main":
+            kept.append(text)
             continue
-        n = b["n"]
         shared = sum(i in covered for i in range(at, at + n)) if covered else 0
         at += n
-        boilerplate = shared >= COVERED * n and (b["place"] == "frame" or n < PROSE)
-        if not boilerplate and b["text"] is not None and not b["linked"]:
-            kept.append(b["text"])
+        if shared < COVERED * n and text is not None:
+            kept.append(text)
     return "\n\n".join(kept)
 
 
@@ -201,39 +207,56 @@ def keyed(pages: DataFrame) -> DataFrame:
     return few.select(F.xxhash64("page_id", "url", "html").alias("page"), host.alias("host"), "page_id", "url", "html")
 
 
-def suffixes(pages: DataFrame, long: int = LONG) -> DataFrame:
-    """page, host, at, head: the suffixes of the pages' streams, by the hash of their first `long` tokens."""
+PARSED = "page long, host string, page_id long, url string, marked boolean, article long, rows binary, blocks array<struct<block:long,n:int>>, heads array<long>"
+
+
+def parsed_pages(pages: DataFrame, long: int = LONG) -> DataFrame:
+    """A row for each page: marked (an article, of the hash `article`), rows (what may be kept, compressed: Spark's own
+    codec finds little to save in prose), blocks (of open text on pages that mark none) and heads (of the host's name and
+    the first `long` tokens of each suffix of the page's stream)."""
+    kinds = pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32())]))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        signed = lambda x: (h := xxh64_intdigest(x.encode("utf-8", "surrogatepass"))) - (h >> 63 << 64)
+
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            streams = [stream_of(blocks_of(x)) for x in batch.column(2).to_pylist()]
-            heads = [[" ".join(s[i : i + long]) for i in range(len(s) - long + 1)] for s in streams]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.list_(pa.string()))], names=["page", "host", "heads"])
+            out: list[list] = [[], [], [], [], []]
+            for host, html in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
+                blocks = blocks_of(html)
+                marked, stream = is_marked(blocks), stream_of(blocks)
+                out[0].append(marked)
+                out[1].append(signed("\n".join(b.text for b in blocks if b.place == "main")))
+                out[2].append(zlib.compress(json.dumps(candidates(blocks), ensure_ascii=False).encode("utf-8", "surrogatepass"), 4))
+                out[3].append([] if marked else [{"block": signed(b.text), "n": len(tokens(b.text))} for b in blocks if b.place == "open"])
+                out[4].append([signed("\n".join([host, *stream[i : i + long]])) for i in range(len(stream) - long + 1)])
+            columns = [pa.array(x, kind) for x, kind in zip(out, (pa.bool_(), pa.int64(), pa.binary(), kinds, pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *columns], names=["page", "host", "page_id", "url", "marked", "article", "rows", "blocks", "heads"])
 
         return one
 
-    read = map_batches(pages.select("page", "host", "html"), make, "page long, host string, heads array<string>")
-    return read.select("page", "host", F.posexplode("heads").alias("at", "head")).select("page", "host", "at", F.xxhash64("host", "head").alias("head"))
+    return map_batches(keyed(pages), make, PARSED)
 
 
-def repeated_places(pages: DataFrame, long: int = LONG) -> DataFrame:
-    """page, repeated: sorted places of its stream where a substring begins that a distinct page of the host has."""
-    found = suffixes(pages, long)
+def repeated_places(parsed: DataFrame) -> DataFrame:
+    """page, repeated: for pages that mark no article, the sorted places of their streams where a substring begins that a
+    distinct page of the host has."""
+    open_pages = parsed.where("not marked")
+    streams = parsed.join(open_pages.select("host").distinct(), "host", "left_semi")
+    blocks = open_pages.select("page", "host", F.explode("blocks").alias("x")).select("page", "host", "x.block", "x.n").distinct()
+    of_host = open_pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    on_pages = checkpoint(blocks.groupBy("host", "block").agg(F.count("*").alias("pages")).join(of_host, "host"))
+    weight = F.round(F.col("n") * F.log(F.col("of") / F.col("pages")), 6).alias("weight")
+    telling = blocks.join(on_pages, ["host", "block"]).groupBy("page").agg(F.max(F.struct(weight, "block")).alias("x")).select("page", F.col("x.block").alias("telling"))
+    found = streams.join(telling, "page", "left").select("page", "marked", F.coalesce("telling", "article").alias("kind"), F.posexplode("heads").alias("at", "head"))
     # Written out, so that the join shuffles it plainly and a frequent head's rows can be split over tasks.
-    shared = checkpoint(found.groupBy("head").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("head"))
-    return found.join(shared, "head").groupBy("page").agg(F.array_sort(F.collect_set("at")).alias("repeated"))
+    shared = checkpoint(found.groupBy("head").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b").select("head"))
+    return found.where("not marked").select("page", "at", "head").join(shared, "head").groupBy("page").agg(F.array_sort(F.collect_set("at")).alias("repeated"))
 
 
 def extract_text(pages: DataFrame, long: int = LONG) -> DataFrame:
-    """page_id, url, text, n_chars. Pages are parsed where they are read; what is shuffled to meet their repeats is the
-    text that may be kept, compressed page by page (Spark's own codec finds little to save in prose)."""
-
-    def parse() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [zlib.compress(json.dumps(candidates(blocks_of(html)), ensure_ascii=False).encode("utf-8", "surrogatepass"), 4) for html in batch.column(3).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.binary())], names=["page", "page_id", "url", "rows"])
-
-        return one
+    """page_id, url, text, n_chars. Pages are parsed once; those that mark their article need no other page."""
 
     def keep() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,10 +266,10 @@ def extract_text(pages: DataFrame, long: int = LONG) -> DataFrame:
 
         return one
 
-    keys = keyed(pages)
-    parsed = map_batches(keys.select("page", "page_id", "url", "html"), parse, "page long, page_id long, url string, rows binary")
-    joined = parsed.join(repeated_places(keys, long), "page", "left").select("page_id", "url", "rows", "repeated")
-    return map_batches(joined, keep, "page_id long, url string, text string, n_chars long")
+    parsed = checkpoint(parsed_pages(pages, long))
+    marked = parsed.where("marked").select("page_id", "url", "rows", F.lit(None).cast("array<int>").alias("repeated"))
+    others = parsed.where("not marked").join(repeated_places(parsed), "page", "left").select("page_id", "url", "rows", "repeated")
+    return map_batches(marked.unionByName(others), keep, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

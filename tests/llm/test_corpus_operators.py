@@ -466,6 +466,54 @@ def test_shared_substrings(spark):
     assert {r["text"] for r in html_text.extract_text(copies).collect()} == {("same words again " * 20).strip()}
 
 
+def test_unmarked_copies(spark):
+    """Copies of an unmarked article keep its short paragraphs; what other pages of the host have as well goes."""
+    frame = lambda t: f"<div>Welcome to our lovely site today</div>{t}<p>All rights reserved by somebody or other, forever and {'ever ' * 60}</p>"
+    own = lambda i: f"Tale{i} of{i} other{i} things{i} entirely{i}"
+    short = ["A heading of five words", "One short paragraph of the article here.", "Another short paragraph, a little longer than that one."]
+    pages = [(i, "https://a.example.com/1", frame("".join(f"<p>{x}</p>" for x in short) + f"<i>{i}</i>")) for i in range(3)]
+    pages += [(10 + i, "https://a.example.com/2", frame(f"<p>{own(i)}</p>")) for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert all(all(x in got[i] for x in short) and "Welcome" not in got[i] and "reserved" not in got[i] for i in range(3))
+    assert [got[10 + i] for i in range(4)] == [own(i) for i in range(4)]
+
+
+def test_main_elements_and_names():
+    text = lambda body: html_text.main_text(html_text.blocks_of(page(body)), [])
+    for name in ("post tag-menu", "comments-open", "ad-free", "share-story", "article-related", "widget"):
+        assert text(f"<article class='{name}'><p>The text.</p></article>") == "The text.", name
+    for wrapper in ("<form action=x>", "<div class='one-sidebar'>", "<div id=header-2 class=menu>"):
+        assert text(f"{wrapper}<p>frame</p><article><p>The text.</p><form><p>mail</p></form></article>") == "The text.", wrapper
+    assert text("<article><p>The text.</p></article><section class=comments><article><p>a reader</p></article></section><aside><article>teaser</article></aside>") == "The text."
+    assert text("<article><p>The text.</p><article class=comment>a reader</article><div class='related'><article>teaser</article></div></article>") == "The text."
+
+
+def test_repeats_are_suffix_intervals(spark):
+    """The places that are found are those of a suffix array with common prefixes, per host."""
+    r = random.Random(12)
+    runs = [" ".join(r.choice("abc") for _ in range(r.randint(2, 9))) for _ in range(8)]
+    pages = [(i, f"http://h{i % 2}/", "".join(f"<p>{r.choice(runs)} {r.choice('xyzuvw')}{i} {r.choice(runs)}</p>" for _ in range(3))) for i in range(16)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    parsed = html_text.parsed_pages(df).cache()
+    ids = {x["page"]: x["page_id"] for x in parsed.collect()}
+    got = {ids[x["page"]]: x["repeated"] for x in html_text.repeated_places(parsed).collect()}
+    expected = defaultdict(set)
+    for host in range(2):
+        streams = {i: html_text.stream_of(html_text.blocks_of(h)) for i, _, h in pages if i % 2 == host}
+        order = sorted((s[at:], i, at) for i, s in streams.items() for at in range(len(s)))
+        common = [next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(order, order[1:])]
+        start = 0
+        for n, shared in enumerate([*common, 0]):
+            if shared < html_text.LONG:
+                interval = order[start : n + 1]
+                if len({i for _, i, _ in interval}) > 1:
+                    for _, i, at in interval:
+                        expected[i].add(at)
+                start = n + 1
+    assert got == {i: sorted(x) for i, x in expected.items()} and sum(map(len, got.values())) > 50
+
+
 # ---------------------------------------------------------------- pipeline
 
 
