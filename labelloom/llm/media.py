@@ -74,29 +74,28 @@ def png_length(data: bytes, at: int) -> int | None:
     return None
 
 
-def gif_length(data: bytes, at: int) -> int | None:
-    def blocks(place: int) -> int | None:
-        while place < len(data):
-            if not data[place]:
-                return place + 1
-            place += 1 + data[place]
-        return None
-
+def gif_length(data: bytes, at: int, dead: set[int] | None = None) -> int | None:
+    """dead: places of blocks and images from which earlier walks over the same data found no end."""
+    dead = set() if dead is None else dead
     if len(data) < at + 13:
         return None
     flags = data[at + 10]
-    place: int | None = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
-    while place is not None and place < len(data):
+    place, seen, inside = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0), [], False
+    while place < len(data) and (key := 2 * place + inside) not in dead:
+        seen.append(key)
         kind = data[place]
-        if kind == 0x3B:
+        if inside:
+            inside, place = kind > 0, place + 1 + kind
+        elif kind == 0x3B:
             return place + 1 - at
-        if kind == 0x21:
-            place = blocks(place + 2)
+        elif kind == 0x21:
+            inside, place = True, place + 2
         elif kind == 0x2C and place + 10 < len(data):
             local = data[place + 9]
-            place = blocks(place + 11 + (3 << (local & 7) + 1 if local & 128 else 0))
+            inside, place = True, place + 11 + (3 << (local & 7) + 1 if local & 128 else 0)
         else:
-            return None
+            break
+    dead.update(seen)
     return None
 
 
@@ -112,7 +111,10 @@ def bmp_length(data: bytes, at: int) -> int | None:
     return size if how or pixels + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def jpeg_length(data: bytes, at: int) -> int | None:
+def jpeg_length(data: bytes, at: int, last_end: int | None = None) -> int | None:
+    """last_end: the place of the last end mark in the data, beyond which no image ends."""
+    if at > (data.rfind(b"\xff\xd9") if last_end is None else last_end):
+        return None
     place = at + 2
     while place + 4 <= len(data) and data[place] == 0xFF:
         kind = data[place + 1]
@@ -141,13 +143,20 @@ def pdf_length(data: bytes, at: int) -> int | None:
     return end + 5 - at if int(data[start + 9 : end]) < start - at else None
 
 
-def zip_length(data: bytes, at: int) -> int | None:
-    place = at
+def zip_ends(data: bytes) -> dict[int, int]:
+    """Start of an archive -> its length, by the first end record that fits; one pass over the end records."""
+    found: dict[int, int] = {}
+    place = -1
     while (place := data.find(b"PK\x05\x06", place + 1)) >= 0 and place + 22 <= len(data):
         size, offset, note = struct.unpack_from("<IIH", data, place + 12)
-        if at + offset + size == place and data[at + offset : at + offset + 4] == b"PK\x01\x02" and place + 22 + note <= len(data):
-            return place + 22 + note - at
-    return None
+        start = place - size - offset
+        if start >= 0 and data[start + offset : start + offset + 4] == b"PK\x01\x02" and place + 22 + note <= len(data):
+            found.setdefault(start, place + 22 + note - start)
+    return found
+
+
+def zip_length(data: bytes, at: int, ends: dict[int, int] | None = None) -> int | None:
+    return (zip_ends(data) if ends is None else ends).get(at)
 
 
 def gzip_length(data: bytes, at: int) -> int | None:
@@ -165,10 +174,13 @@ def gzip_length(data: bytes, at: int) -> int | None:
     return place - len(unpack.unused_data) - at if unpack.eof else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
+VALIDATORS: dict[str, Callable[..., int | None]] = {
     "wav": wav_length, "png": png_length, "gif": gif_length, "bmp": bmp_length, "jpeg": jpeg_length, "pdf": pdf_length, "zip": zip_length, "gzip": gzip_length,
 }
 
+#: What the walks from all hits of a format share, found once for a value, so that many hits don't cost its square.
+SHARED: dict[str, Callable[[bytes], object]] = {"zip": zip_ends, "gif": lambda data: set(), "jpeg": lambda data: data.rfind(b"\xff\xd9")}
+
 
 @lru_cache(maxsize=1)
 def automaton():
@@ -187,9 +199,14 @@ def sniff(data: bytes | None) -> tuple[str, int, list[tuple[str, int, int]]]:
     if not data:
         return "empty", 0, []
     kind, length, carved, free = "", 0, [], 0
+    known: dict[str, tuple] = {}
     for last, (size, what) in automaton().iter(data.decode("latin-1")):
         at = last - size + 1
-        if at < free or (found := VALIDATORS[what](data, at)) is None:
+        if at < free:
+            continue
+        if what in SHARED and what not in known:
+            known[what] = (SHARED[what](data),)
+        if (found := VALIDATORS[what](data, at, *known.get(what, ()))) is None:
             continue
         if at == 0:
             kind, length = what, found
@@ -279,7 +296,8 @@ def sound_features(samples: bytes) -> str:
 def media_columns(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     """Stores each text as a WAV value, sniffs the stored bytes, and reads payload and features back from them.
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type,
-    n_carved. The declared type is text; the sniffed one corrects it. A null text is the empty text."""
+    n_carved, declared, corrected. The declared type is text; the sniffed one corrects it. A null text is the empty
+    text."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -290,14 +308,14 @@ def media_columns(docs: DataFrame, unit: int = UNIT) -> DataFrame:
                 if (kind, length) != ("wav", len(media)):
                     raise ValueError(f"stored as wav, read back as {kind} of {length} bytes")
                 back = wav_samples(media)
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind};{sound_features(back)};carved={len(carved)}", kind, len(carved)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "n_carved"])
+                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind};{sound_features(back)};carved={len(carved)}", kind, len(carved), "text", kind != "text"))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "n_carved", "declared", "corrected"])
 
         return one
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_batches(few, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, n_carved int")
+    return map_batches(few, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, n_carved int, declared string, corrected boolean")
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
