@@ -1,10 +1,11 @@
 """Token counts of a unigram model, by a trie of pre-tokens.
 
-A batch's distinct pre-tokens (runs of no white space, each led by the word mark) are walked in order, which visits
-their trie depth first: the path to the current node holds, for each prefix, the best score of any segmentation (the
-forward score) and its number of tokens. What two pre-tokens share is so scored once, and the count at a pre-token's
-end is kept. A piece's score is -log(rank + 1) over the vocabulary's ranks. A character outside the vocabulary falls
-back to its UTF-8 bytes. Of equal scores the one with the longer last piece counts.
+Distinct pre-tokens (runs of no white space, each led by the word mark) are inserted into a trie that a worker keeps over
+its batches. A node holds the forward score (the best score of any segmentation of its prefix) and that segmentation's
+number of tokens; both are found once, when the node is made, from those of its ancestors. The count at a pre-token's
+end is kept beside. A piece's score is -log(rank + 1) over the vocabulary's ranks: a stand-in for a unigram table, which
+the vocabulary, a BPE one, doesn't have. A character outside the vocabulary falls back to its UTF-8 bytes. Of equal
+scores the one with the longer last piece counts.
 
 Null and blank texts have no tokens. Repeated rows give equal results, an empty table an empty one; only doc_id and
 text are read.
@@ -25,6 +26,8 @@ from labelloom.llm.common import map_batches, table, text_or_empty
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 CACHE = 400_000
+#: Nodes beyond which a trie is begun anew; what it has counted stays.
+NODES = 500_000
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -36,40 +39,58 @@ def vocabulary(path: str) -> dict[str, float]:
     return {p: -math.log(rank + 1) for rank, p in enumerate(pieces, 1)}
 
 
-class Counter:
-    """n_tokens of pre-tokens; the counts found so far stay, in two generations of at most CACHE."""
+class Trie:
+    """Prefixes of pre-tokens, with their forward scores and numbers of tokens. Node 0 is the empty prefix."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.best, self.n = [0.0], [0]
+
+    def insert(self, text: str) -> int:
+        """The number of tokens at the end of text."""
+        child, path = self.child, [0]
+        for end, c in enumerate(text, 1):
+            key = path[-1], c
+            node = child.get(key)
+            if node is None:
+                node = child[key] = self.score(text, end, path)
+            path.append(node)
+        return self.n[path[-1]]
+
+    def score(self, text: str, end: int, path: list[int]) -> int:
+        """A new node for text[:end]; path: the nodes of all shorter prefixes."""
+        best, pieces, top, n = self.best, self.pieces, -math.inf, 0
+        for start in range(max(0, end - self.longest), end):
+            score = pieces.get(text[start:end])
+            if score is not None and best[path[start]] + score > top:
+                top, n = best[path[start]] + score, self.n[path[start]] + 1
+        if text[end - 1] not in pieces:
+            size = len(text[end - 1].encode())
+            if best[path[-1]] + self.unknown * size > top:
+                top, n = best[path[-1]] + self.unknown * size, self.n[path[-1]] + size
+        best.append(top)
+        self.n.append(n)
+        return len(best) - 1
+
+
+class Counter:
+    """n_tokens of pre-tokens; the counts found so far stay, in two generations of at most CACHE."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.trie = Trie(pieces)
         self.counts: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
     def walk(self, tokens: Iterable[str]) -> dict[str, int]:
-        pieces, longest, unknown = self.pieces.get, self.longest, self.unknown
-        best, count, last, out = [0.0], [0], "", {}
-        for token in sorted(tokens):
-            text = MARK + token
-            shared, most = 0, min(len(last), len(text))
-            while shared < most and last[shared] == text[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                top, n = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = pieces(text[start:end])
-                    if score is not None and best[start] + score > top:
-                        top, n = best[start] + score, count[start] + 1
-                if text[end - 1] not in self.pieces:
-                    size = len(text[end - 1].encode())
-                    if best[end - 1] + unknown * size > top:
-                        top, n = best[end - 1] + unknown * size, count[end - 1] + size
-                best.append(top)
-                count.append(n)
-            out[token] = count[-1]
-            last = text
-        return out
+        if len(self.trie.n) > NODES:
+            self.trie.clear()
+        return {x: self.trie.insert(MARK + x) for x in tokens}
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         """n_pretokens and n_tokens of each text."""
