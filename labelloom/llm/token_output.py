@@ -5,8 +5,8 @@ minimum is subtracted; the rest is packed at the width that holds the PERCENTILE
 stand in an exception list (positions and values). An index of block starts and a table of documents (id, length)
 close the file, so one block or one document can be read without the rest.
 
-In op10 and in the pipeline the content of an added token, as '<|endoftext|>', is that token's id; the operator's
-default takes it for plain characters. Null texts are empty texts; an empty document is its end id alone; documents with a null doc_id come first; equal
+The content of an added token, as '<|endoftext|>', is that token's id, as the library has it; with added=False it is plain
+characters. Null texts are empty texts; an empty document is its end id alone; documents with a null doc_id come first; equal
 doc_ids follow each other in the order of their texts. An empty table gives no file and no row. Columns other than
 doc_id and text are not read.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import checkpoint, new_folder, table, text_or_empty
+from labelloom.llm.common import bounded_batches, checkpoint, new_folder, table, text_or_empty
 
 MAGIC = b"PFORTOK1"
 BLOCK = 1024
@@ -149,7 +149,7 @@ def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
 class Pieces(dict):
     """ids (little-endian bytes) of the pieces between spaces; keeps the last two generations of at most CACHE."""
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -226,7 +226,7 @@ class Pieces(dict):
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str, added: bool = False) -> Pieces:
+def pieces(path: str, added: bool = True) -> Pieces:
     return Pieces(path, added)
 
 
@@ -262,12 +262,13 @@ def put(folder: str, name: str, data: bytes) -> None:
         files.move(temporary, f"{path}/{name}")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, added: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, added: bool = True) -> DataFrame:
     """Writes part-<partition>-<sequence>.pfor files under folder, in ascending order of doc_id over all files. Returns
     the manifest: part, seq, file, n_docs, n_tokens. folder: a URI that pyarrow opens on executors (file on a shared
     mount, hdfs, s3). The texts are shuffled once by ranges of doc_id; a range holds no more than file_tokens ids
     (and its last document) in memory. added: see token_output."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = qualified(spark, folder)
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -326,7 +327,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return rows.join(starts, "file").select("file", "doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, added: bool = False) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, added: bool = True) -> DataFrame:
     """Writes docs as token files and returns doc_id, start, n_tokens, ids_crc32 as read back from them, and the file.
     added: the content of an added token is that token's id, as in the library's own encode; else plain characters."""
     spark = docs.sparkSession
@@ -336,4 +337,4 @@ def token_output(docs: DataFrame, tokenizer: str | None = None, folder: str | No
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(table(spark, sf_dir, "documents"), added=True)
+    return token_output(table(spark, sf_dir, "documents"))
