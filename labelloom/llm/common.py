@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that are Python objects at once.
+#: Rows of a batch that are Python objects at once, and bytes of an Arrow batch.
 ROWS = 1024
+BATCH_BYTES = 8 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -87,8 +88,17 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS rows and BATCH_BYTES (or one row) at most: an executor holds several of them beside its
+    heap. A session that asks for less keeps that."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(name))[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Runs make() once in a task and its result on each Arrow batch."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()

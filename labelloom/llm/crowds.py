@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import checkpoint
+from labelloom.llm.common import bounded_batches, checkpoint
 
 FEW = 32
 #: Rows, and bytes, of a side of a tile.
@@ -91,6 +91,7 @@ def tile_links(members: DataFrame, data: DataFrame, make: Callable[[], Compare])
                 found.append((xs[i]["node"], ys[j]["node"]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
+    bounded_batches(members.sparkSession)
     rows = members.join(data, "node")
     tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("int")
     n, size = F.count("*"), F.sum(F.octet_length("data"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import checkpoint, map_batches, table, text_or_empty
+from labelloom.llm.common import bounded_batches, checkpoint, map_batches, table, text_or_empty
 
 FEATURES = 192
 RIDGE = 1e-3
@@ -193,6 +193,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, least: float = REJECT) -> DataFrame:
     """The rows of docs whose texts score at least `least`; all columns as they are, no shuffle."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts):
