@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,21 @@ RESERVED = (
 )
 
 
+#: What is wrong with a key.
+EMPTY = "Metadata key cannot be null or empty"
+TOO_LONG = f"Metadata key exceeds maximum length of {MOST} characters"
+KEPT = "'%s' is a reserved key and cannot be used for OCR metadata"
+NOT_VALID = "'%s' is not a valid metadata key. Keys must start with a letter or underscore and contain only letters, numbers, underscores, and hyphens"
+
+
+def bound(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """steps one after the other, each result worked out once however often the next step reads it."""
+    x = F.array(value)
+    for step in steps:
+        x = F.transform(x, step)
+    return F.get(x, F.lit(0))
+
+
 def is_reserved(key: Column) -> Column:
     """V2."""
     return F.coalesce(F.lower(key).isin([k.lower() for k in RESERVED]), F.lit(False))
@@ -29,12 +46,12 @@ def is_reserved(key: Column) -> Column:
 
 def key_error(key: Column) -> Column:
     """V1: null for a valid key, else what is wrong with it; of the key without blanks at its ends."""
-    trimmed = control_trim(key)
-    return (
-        F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("Metadata key cannot be null or empty"))
-        .when(F.char_length(trimmed) > MOST, F.lit(f"Metadata key exceeds maximum length of {MOST} characters"))
-        .when(is_reserved(trimmed), F.format_string("'%s' is a reserved key and cannot be used for OCR metadata", trimmed))
-        .when(~trimmed.rlike(VALID), F.format_string("'%s' is not a valid metadata key. Keys must start with a letter or underscore and contain only letters, numbers, underscores, and hyphens", trimmed))
+    return bound(
+        control_trim(key),
+        lambda trimmed: F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(EMPTY))
+        .when(F.char_length(trimmed) > MOST, F.lit(TOO_LONG))
+        .when(is_reserved(trimmed), F.format_string(KEPT, trimmed))
+        .when(~trimmed.rlike(VALID), F.format_string(NOT_VALID, trimmed)),
     )
 
 
@@ -50,11 +67,12 @@ def is_valid_key(key: Column) -> Column:
 
 def sanitize_key(key: Column) -> Column:
     """V3: a valid key near the given one, or null."""
-    kept = F.regexp_replace(F.translate(control_trim(key), " ./\\:", "_____"), "[^a-zA-Z0-9_-]", "")
-    led = F.when(kept.rlike("^[a-zA-Z_]"), kept).otherwise(F.concat(F.lit("ocr_"), kept))
-    cut = F.when(kept == "", F.lit(None).cast("string")).otherwise(F.left(led, F.lit(MOST)))
-    free = F.when(is_reserved(cut), F.concat(F.lit("ocr_"), cut)).otherwise(cut)
-    return F.when(is_valid_key(free), free)
+    return bound(
+        F.regexp_replace(F.translate(control_trim(key), " ./\\:", "_____"), "[^a-zA-Z0-9_-]", ""),
+        lambda kept: F.when(kept == "", F.lit(None).cast("string")).when(kept.rlike("^[a-zA-Z_]"), F.left(kept, F.lit(MOST))).otherwise(F.left(F.concat(F.lit("ocr_"), kept), F.lit(MOST))),
+        lambda cut: F.when(is_reserved(cut), F.concat(F.lit("ocr_"), cut)).otherwise(cut),
+        lambda free: F.when(free.rlike(VALID) & (F.char_length(free) <= MOST) & ~is_reserved(free), free),
+    )
 
 
 def suggest_key(key: Column) -> Column:

@@ -27,7 +27,7 @@ class TextFilter:
 
     @property
     def description(self) -> str:
-        return f"{self.tooltip}\nRegex: {self.pattern}"
+        return f"{self.tooltip}\n\nRegex: {self.pattern} " + (f"-> {self.replacement}" if self.replacement else "(remove)")
 
     @property
     def keeps(self) -> bool:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,25 +133,31 @@ def overlapping_pairs(blocks: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.block_idx").alias("i"), F.col("b.block_idx").alias("j"), G.overlap_area(x, y).alias("overlap"), G.same_place(x, y).alias("same_place"))
 
 
+def on_each_other(boxes: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """G6 for all pairs of boxes: do they share over half of the smaller one?"""
+    x, y, w, h = np.array(boxes, np.float64).reshape(-1, 4).T[:, :, None]
+    shared = lambda at, size: np.minimum(at + size, (at + size).T) - np.maximum(at, at.T)
+    across, down, smaller = shared(x, w), shared(y, h), np.minimum(w * h, (w * h).T)
+    return (across > 0) & (down > 0) & (smaller > 0) & (across * down > 0.5 * smaller)
+
+
 def dedupe_order(boxes: list[tuple[int, int, int, int]], confidences: list[float]) -> list[int]:
-    """For each kept place, in order, the index of the block that is kept there."""
-    merged, out = [False] * len(boxes), []
-    for i in range(len(boxes)):
-        if merged[i]:
-            continue
-        best = i
-        for j in range(i + 1, len(boxes)):
-            if merged[j]:
-                continue
-            (x, y, w, h), (p, q, r, s) = boxes[best], boxes[j]
-            across, down = min(x + w, p + r) - max(x, p), min(y + h, q + s) - max(y, q)
-            smaller = min(w * h, r * s)
-            if across > 0 and down > 0 and smaller > 0 and across * down > 0.5 * smaller:
-                merged[j] = True
-                if confidences[j] > confidences[best]:
-                    best = j
-        out.append(best)
-    return out
+    """For each kept place, in order, the index of the block that is kept there. A place takes in the free blocks after
+    its holder that lie on it, up to the first more confident one, which holds the place from there on."""
+    same, sure, free = on_each_other(boxes), np.asarray(confidences, np.float64), np.ones(len(boxes), bool)
+    kept = []
+    while free.any():
+        holder = int(free.argmax())
+        free[holder] = False
+        while True:
+            later = np.flatnonzero(free[holder:] & same[holder, holder:]) + holder
+            surer = later[sure[later] > sure[holder]]
+            free[later[later <= surer[0]] if len(surer) else later] = False
+            if not len(surer):
+                break
+            holder = int(surer[0])
+        kept.append(holder)
+    return kept
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

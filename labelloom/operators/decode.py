@@ -47,6 +47,8 @@ class Decoder(Protocol):
 
     def read_barcodes(self, image: np.ndarray) -> list[Barcode]: ...
 
+    # A decoder may also offer read_orientation(image) -> str, of the form that orientation_degrees() reads.
+
 
 class FixtureDecoder:
     """Blocks and barcodes by an image's bytes: for tests, and to replay recorded results."""
@@ -130,13 +132,33 @@ def result(text: str = "", confidence: float = 0.0, box: Box | None = None, sour
     return {"text": text, "confidence": confidence, "box": box and dict(zip(("x", "y", "width", "height"), box)), "source_type": source, "format": form, "success": success, "error": error}
 
 
-def decode_text(decoder: Decoder, part: np.ndarray, config: OcrConfig, dx: int, dy: int) -> dict[str, Any]:
-    """Confidence is the sum over blocks with text by the number of all."""
+def read_blocks(decoder: Decoder, image: np.ndarray, config: OcrConfig, auto_crop: bool = True) -> list[Block]:
+    """Crop or auto-crop, invert, threshold, turn upright, read; boxes found in an auto-cropped part are
+    moved back to the image."""
+    part, (dx, dy) = I.preprocess(image, config.crop_region, auto_crop and config.enable_preprocessing, enhance=False)
     if config.invert:
         part = I.invert(part)
     if config.enhance_contrast and config.enable_preprocessing:
         part = I.adaptive_threshold(I.luma_gray(part))
-    blocks = extracted(decoder.read_text(part, config), config)
+    turned = getattr(decoder, "read_orientation", None)
+    if config.detect_orientation and turned and (degrees := orientation_degrees(turned(part))) and config.auto_rotate:
+        part = I.rotate(part, degrees)
+    return [Block(b.text, (b.box[0] + dx, b.box[1] + dy, b.box[2], b.box[3]), b.confidence, b.type) for b in extracted(decoder.read_text(part, config), config)]
+
+
+def shown_texts(blocks: list[Block]) -> list[str]:
+    """The texts of lines, or else of words."""
+    return [b.text for b in blocks if b.type == "LINE"] or [b.text for b in blocks if b.type == "WORD"]
+
+
+def extract_text(decoder: Decoder, image: np.ndarray, config: OcrConfig) -> str:
+    """The text alone, a line each, without auto-crop."""
+    return "\n".join(shown_texts(read_blocks(decoder, image, config, auto_crop=False)))
+
+
+def decode_text(decoder: Decoder, part: np.ndarray, config: OcrConfig, dx: int, dy: int) -> dict[str, Any]:
+    """Confidence is the sum over blocks with text by the number of all."""
+    blocks = read_blocks(decoder, part, config)
     box = around([b.box for b in blocks])
     return result(" ".join(b.text for b in blocks), sum(b.confidence for b in blocks) / len(blocks) if blocks else 0.0, box and (box[0] + dx, box[1] + dy, box[2], box[3]))
 
@@ -170,6 +192,38 @@ def decode_region(decoder: Decoder, image: np.ndarray | None, region: Box | None
         return result(success=False, error=f"{type(e).__name__}: {e}", source=kind or "TEXT")
 
 
+def pixels(row: dict[str, Any]) -> tuple[np.ndarray | None, str | None]:
+    """An IMAGE row's pixels in eight bits (None without data), and what is wrong with them."""
+    if row["data"] is None:
+        return None, None
+    try:
+        bits = int(row["bits_per_sample"])
+        return I.to_eight_bit(I.raster(row["data"], int(row["width"]), int(row["height"]), int(row["n_channels"]), bits), bits), None
+    except Exception as e:  # noqa: BLE001  bytes that aren't the image they should be are that row's error
+        return None, f"{type(e).__name__}: {e}"
+
+
+def detect_texts(images: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
+    """image_id, texts (P4, in order), success, error of whole label images."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = make()
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                image, broken = pixels(r)
+                texts: list[str] = []
+                if image is not None:
+                    try:
+                        texts = shown_texts(read_blocks(decoder, image, config))
+                    except Exception as e:  # noqa: BLE001  a plug-in may raise anything; the row says so
+                        broken = f"{type(e).__name__}: {e}"
+                out.append((r["image_id"], texts, broken is None, broken))
+            yield pd.DataFrame(out, columns=["image_id", "texts", "success", "error"])
+
+    return images.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data").mapInPandas(run, "image_id long, texts array<string>, success boolean, error string")
+
+
 def decode_regions(images: DataFrame, regions: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
     """decoded_regions (DECODED) of regions (image_id, field_index, region_type, box; a null box: the whole image). An
     image's regions go to it as an array, so that its pixels move once; make() runs once in a worker (E1)."""
@@ -181,11 +235,11 @@ def decode_regions(images: DataFrame, regions: DataFrame, make: Callable[[], Dec
         for batch in batches:
             out = []
             for r in batch.to_dict("records"):
-                image = None if r["data"] is None else I.to_eight_bit(I.raster(r["data"], int(r["width"]), int(r["height"]), int(r["n_channels"]), int(r["bits_per_sample"])), int(r["bits_per_sample"]))
+                image, broken = pixels(r)
                 for g in r["regions"]:
                     box = g["box"] and tuple(g["box"][k] for k in ("x", "y", "width", "height"))
                     began = time.monotonic()
-                    found = decode_region(decoder, image, box, g["region_type"], config)
+                    found = result(success=False, error=broken, source=g["region_type"] or "TEXT") if broken else decode_region(decoder, image, box, g["region_type"], config)
                     out.append({"image_id": r["image_id"], "field_index": g["field_index"], "processing_ms": int(1000 * (time.monotonic() - began)), **found})
             yield pd.DataFrame(out, columns=["image_id", "field_index", "text", "confidence", "box", "source_type", "format", "processing_ms", "success", "error"])
 

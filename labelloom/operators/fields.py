@@ -132,7 +132,7 @@ ROUTES = {"CaseID": r"CASE-\d+", "Date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{
 
 def same_entry(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose first URIs are equal."""
-    return left.join(right, F.get(left["uris"], F.lit(0)) == F.get(right["uris"], F.lit(0)))
+    return left.alias("l").join(right.alias("r"), F.get("l.uris", F.lit(0)) == F.get("r.uris", F.lit(0)))
 
 
 def add_field(fields: DataFrame, image_ids: DataFrame, region_type: str = "TEXT", box: Column | None = None, prefix: str = "", kind: str | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import re
+from dataclasses import dataclass, fields, replace
 from enum import IntEnum
 from typing import Any
 
@@ -98,6 +99,16 @@ def batch_config(spark: SparkSession, template_config: OcrConfig | None = None)
     return OcrConfig(PageSegMode.SPARSE_TEXT, language=p.language, min_confidence=p.min_confidence, enhance_contrast=p.enhance_contrast)
 
 
+def config_of(given: dict[str, Any] | None) -> OcrConfig | None:
+    """The configuration that a template's JSON holds, by its names; modes by name or number. None without any."""
+    if not given:
+        return None
+    names = {re.sub("_(.)", lambda m: m[1].upper(), f.name): f.name for f in fields(OcrConfig)}
+    modes = {"page_seg_mode": PageSegMode, "engine_mode": EngineMode}
+    said = {names[k]: v for k, v in given.items() if k in names and v is not None}
+    return OcrConfig(**{k: modes[k][v] if k in modes and isinstance(v, str) else tuple(v) if k == "crop_region" else v for k, v in said.items()})
+
+
 #: Q11: what a single image with fixed positions is read with.
 FIXED_POSITIONS = OcrConfig(PageSegMode.SINGLE_BLOCK, min_confidence=0.1)
 

@@ -13,10 +13,10 @@ from labelloom.operators import blocks as B
 from labelloom.operators import fields as R
 from labelloom.operators import images as I
 from labelloom.operators import metadata as M
-from labelloom.operators.decode import Decoder, decode_regions
-from labelloom.operators.template import Extraction, Template, template_regions
+from labelloom.operators.decode import Decoder, decode_regions, detect_texts
+from labelloom.operators.template import Extraction, Template, positional_fields, template_regions
 from labelloom.operators.vocabulary import Matcher, correct
-from labelloom.plans.config import OcrConfig
+from labelloom.plans.config import OcrConfig, batch_config, config_of
 
 
 def extraction_step(extraction: Extraction) -> Callable[[np.ndarray], np.ndarray]:
@@ -36,12 +36,35 @@ def read_fields(images: DataFrame, template: Template, make: Callable[[], Decode
     return decode_regions(images, regions, make, config).join(F.broadcast(fields.select("field_index", "metadata_key", "region_type")), "field_index")
 
 
-def run_batch(entries: DataFrame, images: DataFrame, template: Template, make: Callable[[], Decoder], filters: tuple[TextFilter, ...] = (), vocabulary: DataFrame | None = None, matcher: Matcher = Matcher(), config: OcrConfig = OcrConfig()) -> DataFrame:
+def extracted_labels(images: DataFrame, template: Template) -> DataFrame:
+    """The extraction's step over its own images; a label that was found by keyword (label_name, if images tell it)
+    is taken as it is."""
+    if not template.extraction:
+        return images
+    step = extraction_step(template.extraction)
+    if "label_name" not in images.columns or not template.extraction.source_image:
+        return I.map_images(images, step)
+    own = F.coalesce(F.lower("label_name") == template.extraction.source_image.lower(), F.lit(False))
+    plain = images.where(~own)
+    return I.map_images(images.where(own), step).unionByName(plain.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data"))
+
+
+def read_positions(images: DataFrame, template: Template, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
+    """The generic branch, for a template without boxes: the texts of whole labels by their places; a place that wasn't
+    detected gives the empty text. Columns as of read_fields, without boxes."""
+    found = detect_texts(images, make, config)
+    placed = positional_fields(found, template.fields(images.sparkSession)).join(found.select("image_id", "success", "error"), "image_id")
+    return placed.select("image_id", "field_index", "metadata_key", "text", F.lit("TEXT").alias("source_type"), "success", "error")
+
+
+def run_batch(entries: DataFrame, images: DataFrame, template: Template, make: Callable[[], Decoder], filters: tuple[TextFilter, ...] = (), vocabulary: DataFrame | None = None, matcher: Matcher = Matcher(), config: OcrConfig | None = None) -> DataFrame:
     """The batch: entries (image_id, metadata) with status, preview, applied and the new metadata. images: label images
-    (IMAGE); entries without one end as "No label". Filters leave barcodes alone; the vocabulary corrects text fields."""
-    if template.extraction:
-        images = I.map_images(images, extraction_step(template.extraction))
-    found = read_fields(images.where("data is not null"), template, make, config)
+    (IMAGE, and label_name where the label's source matters); entries without one end as "No label". A template with boxes
+    reads its regions, one without reads whole labels by place. Without a config the template's own holds, else that of
+    the session. Filters leave barcodes alone; the vocabulary corrects text fields."""
+    config = config or batch_config(entries.sparkSession, config_of(template.configuration))
+    images = extracted_labels(images, template)
+    found = (read_fields if template.has_boxes() else read_positions)(images.where("data is not null"), template, make, config)
     if filters:
         found = found.withColumn("text", filter_text_fields(F.col("text"), F.col("source_type"), *filters))
     if vocabulary is not None:

@@ -489,19 +489,21 @@ def confusions(spark, sf_dir):
     return confusion_table(spark)
 
 
-LINES_SQL = "select doc_id, i line_no, regexp_replace(l, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') line from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents)"
+#: Every third document's lines begin with a quote, as a quoted first column does.
+QUOTED = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?m)^(\w+) (\w+)", '"$1 $2",')).otherwise(F.col("text"))
+LINES_SQL = "select doc_id, i line_no, regexp_replace(l, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') line from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from (select doc_id, case when doc_id % 3 = 0 then regexp_replace(text, '(?m)^(\\w+) (\\w+)', '\"\\1 \\2\",', 'g') else text end as text from documents))"
 
 
 @query(f"""
-with l as ({LINES_SQL}), h as (select *, instr(line, ',') c, instr(line, chr(9)) t from l where line <> '')
+with l as ({LINES_SQL}), h as (select *, instr(line, ',') c, instr(line, chr(9)) t, instr(substr(line, 2), '"') - 1 q from l where line <> '')
 select doc_id, line_no, regexp_matches(lower(line), 'sample|name|id|code|label|value|specimen|patient|slide|case|date') header,
-    case when c > 1 then regexp_replace(substr(line, 1, c - 1), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') else line end csv_value, case when t > 1 then regexp_replace(substr(line, 1, t - 1), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') else line end tab_value
-from h where not starts_with(line, '"')
+    case when starts_with(line, '"') and q > 0 then substr(line, 2, q) when c > 1 then regexp_replace(substr(line, 1, c - 1), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') else line end csv_value, case when t > 1 then regexp_replace(substr(line, 1, t - 1), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') else line end tab_value
+from h
 """)
 def vocabulary_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", T.control_trim(F.col("line")))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(QUOTED, "\n")).alias("line_no", "line")).withColumn("line", T.control_trim(F.col("line")))
     line = F.col("line")
-    return lines.where("line <> '' and not startswith(line, '\"')").select("doc_id", F.col("line_no").cast("long").alias("line_no"), VS.looks_like_header(line).alias("header"), VS.csv_first(line).alias("csv_value"), VS.tab_first(line).alias("tab_value"))
+    return lines.where("line <> ''").select("doc_id", F.col("line_no").cast("long").alias("line_no"), VS.looks_like_header(line).alias("header"), VS.csv_first(line).alias("csv_value"), VS.tab_first(line).alias("tab_value"))
 
 
 # ---------------------------------------------------------------- metadata: K1-K10, R2, R3, A10, A11, A14
@@ -645,3 +647,126 @@ def pixel_histogram_percentile(spark, sf_dir):
     values = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("e"))
     bins = values.select("vec_id", F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 1) * 127.5).cast("int"))).alias("bin"))
     return I.bin_percentiles(bins, ["vec_id"])
+
+
+# ---------------------------------------------------------------- strings: F8, F11, F13, F14, F16, R9, R10
+
+TRIM_SQL = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+
+
+@query(f"select doc_id, {TRIM_SQL.format('text')} trimmed, coalesce({TRIM_SQL.format('text')} = '', true) blank from documents")
+def control_trimmed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.control_trim(F.col("text")).alias("trimmed"), T.is_blank(F.col("text")).alias("blank"))
+
+
+@query(r"select p_partkey, regexp_replace(regexp_replace(p_name || ' 1-2', '[^0-9]', '', 'g'), '\s+', '_', 'g') digits, regexp_replace(regexp_replace(p_name || ' é', '[^a-zA-Z0-9\s.,;:!?''\"()-]', '', 'g'), '\s+', '_', 'g') plain from part")
+def filter_active(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.active_filters(F.concat("p_name", F.lit(" 1-2")), {T.NO_WHITESPACE, T.NUMBERS_ONLY}).alias("digits"), T.active_filters(F.concat("p_name", F.lit(" é")), {T.NO_WHITESPACE, T.STANDARD_CHARS}).alias("plain"))
+
+
+@query("select p_partkey, case when p_size % 4 = 0 then '''' || p_brand || ''' (exact match)' else '''' || p_name || ''' -> ''' || p_brand || ''' (distance=' || cast(p_size % 4 as varchar) || '.00, ' || cast(p_size as varchar) || '% similar)' end display from part")
+def match_displays(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.match_display(F.col("p_name"), F.col("p_brand"), (F.col("p_size") % 4).cast("double"), F.col("p_size") / 100.0).alias("display"))
+
+
+@query("select o_orderkey, case o_orderstatus when 'F' then 'Text' when 'O' then '[' || o_orderpriority || ']' else 'Try Both' end display from orders")
+def type_displays(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "TEXT").when(F.col("o_orderstatus") == "O", "BARCODE").otherwise("AUTO")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.type_display(kind, F.col("o_orderpriority")).alias("display"))
+
+
+@query("select n_nationkey, n_name || '.traineddata' file from nation")
+def model_files(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", T.traineddata_name(F.col("n_name")).alias("file"))
+
+
+@query("select name, label, keeps from (values " + ", ".join(f"('{n}', '{label}', {keeps})" for n, label, keeps in (("Letters Only", "abcABC", True), ("Numbers Only", "123", True), ("Alphanumeric", "aA1", True), ("Filename Safe", "-_.", True), ("Standard Chars", "&*!", False), ("No Whitespace", "A B->A_B", False))) + ") t(name, label, keeps)")
+def filter_kinds(spark, sf_dir):
+    return spark.createDataFrame([(f.name, f.label, f.keeps) for f in T.ALL_FILTERS], "name string, label string, keeps boolean")
+
+
+@query(f"with {BLOCKS} select image_id, block_idx, row_number() over (partition by image_id order by block_idx) row_no, cast(cast(round(confidence * 10) as int) * 10 as varchar) || '%' shown from blocks")
+def numbered_rows(spark, sf_dir):
+    rows = R.numbered(blocks(spark, sf_dir).withColumn("field_index", F.col("block_idx")))
+    return rows.select("image_id", "block_idx", F.col("row_no").cast("long").alias("row_no"), T.percent_text(F.round(F.col("confidence").cast("double"), 1)).alias("shown"))
+
+
+# ---------------------------------------------------------------- single writes and edits: K1, K7, K10, K12, K13, R4, R6, R7
+
+@query("select o_orderkey, case when k ~ '^[a-zA-Z_][a-zA-Z0-9_-]*$' and length(k) <= 128 then o_orderstatus end one, case when k <> '' then coalesce(v, '') end unchecked, 'kept' host from (select o_orderkey, o_orderstatus, case o_orderkey % 4 when 0 then 'OCR_case' when 1 then o_orderpriority when 2 then '' else 'name' end k, case when o_orderkey % 8 < 4 then o_orderstatus end v from orders where o_orderkey % 4 <> 3)")
+def metadata_set_one(spark, sf_dir):
+    n = F.col("o_orderkey") % 4
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 3").withColumn("k", F.when(n == 0, "OCR_case").when(n == 1, F.col("o_orderpriority")).otherwise(""))
+    rows = rows.withColumn("metadata", F.create_map(F.lit("host"), F.lit("kept"))).withColumn("v", F.when(F.col("o_orderkey") % 8 < 4, F.col("o_orderstatus")))
+    one, free = M.set_one(F.col("metadata"), F.col("k"), F.col("o_orderstatus")), M.set_unchecked(F.col("metadata"), F.col("k"), F.col("v"))
+    return rows.select("o_orderkey", M.get(one, F.col("k")).alias("one"), M.get(free, F.col("k")).alias("unchecked"), M.get(free, "host").alias("host"))
+
+
+FIELDS_SQL = f"""{BLOCKS}, fields as (
+    select image_id, cast(block_idx as int) field_index, case block_idx % 4 when 0 then '' when 1 then 'OCR_' || type when 2 then '9 bad' else 'OCR_last' end metadata_key, case when block_idx % 5 = 0 then ' ' else text end as text, case when type = 'LINE' then 'TEXT' else 'BARCODE' end region_type, x, y, w, h from blocks
+)"""
+
+
+def own_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("block_idx")
+    key = F.when(n % 4 == 0, "").when(n % 4 == 1, F.concat(F.lit("OCR_"), "type")).when(n % 4 == 2, "9 bad").otherwise("OCR_last")
+    return blocks(spark, sf_dir).select("image_id", n.cast("int").alias("field_index"), key.alias("metadata_key"), F.when(n % 5 == 0, " ").otherwise(F.col("text")).alias("text"), F.when(F.col("type") == "LINE", "TEXT").otherwise("BARCODE").alias("region_type"), "box")
+
+
+@query(f"with {FIELDS_SQL}, kept as (select * from fields where trim(metadata_key) <> '' and trim(text) <> '' and metadata_key <> '9 bad'), last as (select image_id, metadata_key, arg_max(text, field_index) v from kept group by all) select image_id, metadata_key, v from last")
+def metadata_apply_fields(spark, sf_dir):
+    images = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id")).distinct().withColumn("metadata", F.create_map().cast("map<string,string>"))
+    return M.apply_fields(images, own_fields(spark, sf_dir)).select("image_id", F.explode("metadata").alias("metadata_key", "v"))
+
+
+@query(f"with {FIELDS_SQL} select image_id, string_agg(metadata_key || ': ' || text, chr(10) order by field_index) preview from fields where trim(metadata_key) <> '' and trim(text) <> '' group by image_id")
+def metadata_previews(spark, sf_dir):
+    return R.metadata_preview(own_fields(spark, sf_dir))
+
+
+@query(f"with {FIELDS_SQL} select field_index, metadata_key, text example_text, true enabled, false has_bounding_box from fields where trim(metadata_key) <> ''")
+def template_from_fields(spark, sf_dir):
+    return P.fields_to_rows(own_fields(spark, sf_dir)).select("field_index", "metadata_key", "example_text", "enabled", "has_bounding_box")
+
+
+@query(f"with {FIELDS_SQL} select field_index, metadata_key, x / 500.0::double nx, y / 400.0::double ny, w / 500.0::double nw, h / 400.0::double nh, true has_bounding_box, region_type from fields")
+def template_from_grid(spark, sf_dir):
+    return P.grid_to_rows(own_fields(spark, sf_dir), F.lit(500), F.lit(400)).select("field_index", "metadata_key", "nx", "ny", "nw", "nh", "has_bounding_box", "region_type")
+
+
+@query(f"with {FIELDS_SQL} select image_id, field_index, metadata_key, text from fields union all select image_id, cast(count(*) as int), 'field_' || cast(count(*) as varchar), '' from fields group by image_id")
+def field_insert(spark, sf_dir):
+    rows = own_fields(spark, sf_dir)
+    return R.add_field(rows, rows.select("image_id").distinct()).select("image_id", "field_index", "metadata_key", "text")
+
+
+@query(f"with {FIELDS_SQL} select image_id, field_index, case when field_index % 3 = 1 and field_index % 2 = 0 then 'OCR_new' else metadata_key end metadata_key, case when field_index % 3 = 1 then 'new text' else text end as text from fields where field_index % 7 <> 2")
+def field_edits(spark, sf_dir):
+    rows = own_fields(spark, sf_dir)
+    edits = rows.where("field_index % 3 = 1").select("image_id", "field_index", F.lit("new text").alias("new_text"), F.when(F.col("field_index") % 2 == 0, "OCR_new").otherwise("not valid").alias("new_key"))
+    return R.edit_fields(R.remove_fields(rows, rows.where("field_index % 7 = 2")), edits).select("image_id", "field_index", "metadata_key", "text")
+
+
+# ---------------------------------------------------------------- bags and sources: O6, P13, A11, G14
+
+
+@query(f"with {BLOCKS} select image_id, block_idx, case when type = 'WORD' then 0 else 1 end source_rank from blocks")
+def appended_blocks(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    return B.append_after(B.of_type(rows, "WORD"), B.of_type(rows, "LINE")).select("image_id", "block_idx", "source_rank")
+
+
+@query("select a.page_id a, b.page_id b from pages a join pages b on string_split(a.url, '?')[1] = string_split(b.url, '?')[1]")
+def same_entries(spark, sf_dir):
+    first = table(spark, sf_dir, "pages").select("page_id", F.array(F.get(F.split("url", r"\?"), F.lit(0)), F.lit("second")).alias("uris"))
+    return R.same_entry(first.withColumnRenamed("page_id", "a"), first.withColumnRenamed("page_id", "b")).select("a", "b")
+
+
+@query("with p as (select list_filter(string_split(url, '/'), lambda x: x <> '') parts from pages) select count(*) filter (len(list_filter(parts, lambda x: contains(lower(x), 'th') or contains(lower(x), '.org'))) > 0) with_label, count(*) total from p")
+def images_with_labels(spark, sf_dir):
+    return S.count_with_labels(url_entries(spark, sf_dir), " TH , ,.org")
+
+
+@query(f"with {BLOCKS} select image_id, block_idx, x - 5 x, y - 5 y, w + 10 w, h + 10 h from blocks")
+def expanded_boxes(spark, sf_dir):
+    return flat(blocks(spark, sf_dir).select("image_id", "block_idx", G.expand(F.col("box"), 5).alias("box")))

@@ -7,17 +7,32 @@ operators.images.IMAGE), which is read only when something is decoded.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 KEYWORDS = "label,barcode"
 
 
+@F.pandas_udf(BinaryType())
+def red_first(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """Samples of three or four channels, from blue, green, red (, alpha) to red, green, blue (, alpha)."""
+
+    def one(x: bytes | None, n: int | None) -> bytes | None:
+        if x is None or n not in (3, 4):
+            return x
+        return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(-1, int(n))[:, [2, 1, 0, 3][: int(n)]]).tobytes()
+
+    return pd.Series([one(x, n) for x, n in zip(data, channels)], dtype=object)
+
+
 def read_image_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Image files as IMAGE rows by Spark's own reader (8-bit; blue first is turned into red first by raster())."""
+    """Image files as IMAGE rows by Spark's own reader (8-bit, whose blue-first samples are turned into red first)."""
     raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower()).load(path)
     i = F.col("image")
-    return raw.select(F.xxhash64(i["origin"]).alias("image_id"), i["origin"].alias("uri"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("n_channels"), F.lit(8).alias("bits_per_sample"), i["data"].alias("data"))
+    return raw.select(F.xxhash64(i["origin"]).alias("image_id"), i["origin"].alias("uri"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("n_channels"), F.lit(8).alias("bits_per_sample"), red_first(i["data"], i["nChannels"]).alias("data"))
 
 
 def keywords(preference: str | None) -> list[str]:

@@ -19,7 +19,7 @@ from labelloom.operators import metadata as M
 from labelloom.operators import template as P
 from labelloom.operators import vocabulary as J
 from labelloom.plans import config as C
-from labelloom.plans.pipeline import run_batch, scan_full_image
+from labelloom.plans.pipeline import extracted_labels, run_batch, scan_full_image
 from labelloom.sources import images as S
 from labelloom.sources.templates import read_template, read_template_fields, write_template
 from labelloom.streaming.labels import filter_stream, watch_images
@@ -227,7 +227,7 @@ class Fails(D.FixtureDecoder):
 
 def test_decoding():
     image = np.arange(100, dtype=np.uint8).reshape(10, 10) * 2
-    quiet = C.OcrConfig(enhance_contrast=False)
+    quiet = C.OcrConfig(enhance_contrast=False, enable_preprocessing=False)
     part = image[2:6, 1:5]
     key = np.ascontiguousarray(part).tobytes()
     blocks = [D.Block(" CASE-1 ", (0, 0, 3, 2), 0.9), D.Block("low", (0, 0, 3, 2), 0.2), D.Block("CASE-1", (0, 0, 4, 2), 0.8, "LINE"), D.Block("CASE-I", (0, 0, 4, 2), 0.7, "LINE")]
@@ -264,6 +264,99 @@ def test_batch(spark, vocabulary):
     assert scan_full_image(images.where("data is not null"), decoder_for_batch).count() == 1
 
 
+class Words:
+    """A decoder that finds two lines in a bright part, and says how it is turned."""
+
+    def read_text(self, image, config):
+        return [D.Block("PBS_0O1", (3, 4, 20, 5), 0.9, "LINE"), D.Block("second", (3, 14, 20, 5), 0.8, "LINE"), D.Block("word", (0, 0, 5, 5), 0.9)]
+
+    def read_barcodes(self, image):
+        return []
+
+    def read_orientation(self, image):
+        return "Page number: 0\nOrientation in degrees: 90\n"
+
+
+def test_batch_without_positions(spark, vocabulary):
+    """A template without boxes: whole labels, texts by place; a place that isn't there gives the empty text."""
+    images = spark.createDataFrame([(1, 20, 10, 1, 8, bytearray(200)), (2, None, None, None, None, None), (4, 4, 4, 1, 8, bytearray(b"ab"))], I.IMAGE)
+    entries = spark.createDataFrame([(1, {"host": "x"}), (2, {}), (3, {}), (4, {"a": "b"})], "image_id long, metadata map<string,string>")
+    template = P.Template(mappings=(P.FieldMapping(0, "CaseID"), P.FieldMapping(1, "Second"), P.FieldMapping(7, "Gone"), P.FieldMapping(1, "Off", enabled=False)), configuration={"minConfidence": 0.2, "pageSegMode": "SINGLE_BLOCK", "unknown": 1})
+    rows = {r["image_id"]: r for r in run_batch(entries, images, template, Words, (T.FILENAME_SAFE,), vocabulary).collect()}
+    assert rows[1]["status"] == "Applied" and rows[1]["metadata"] == {"host": "x", "CaseID": "PBS_001", "Second": "second", "Gone": ""} and rows[1]["preview"] == "2 fields"
+    assert rows[2]["status"] == rows[3]["status"] == "No label"
+    assert rows[4]["status"] == "Error" and rows[4]["metadata"] == {"a": "b"}  # bytes that are no image of that size
+    boxes = P.Template(mappings=(P.FieldMapping(0, "CaseID", None, True, 0.0, 0.0, 1.0, 1.0, True, "TEXT"),))
+    wide = spark.createDataFrame([(1, 40, 40, 1, 8, bytearray(1600)), (4, 40, 40, 1, 8, bytearray(b"ab"))], I.IMAGE)
+    rows = {r["image_id"]: r for r in run_batch(entries, wide, boxes, Words).collect()}
+    assert rows[1]["status"] == "Applied" and rows[4]["status"] == "Error"
+    assert C.config_of(template.configuration) == C.OcrConfig(C.PageSegMode.SINGLE_BLOCK, min_confidence=0.2) and C.config_of({}) is None
+
+
+def test_label_sources(spark):
+    images = spark.createDataFrame([(1, 4, 2, 1, 8, bytearray(range(8)), "Macro"), (2, 4, 2, 1, 8, bytearray(range(8)), "label"), (3, None, None, None, None, None, None)], I.IMAGE + ", label_name string")
+    template = P.Template(extraction=P.Extraction("macro", (1, 0, 2, 2)))
+    rows = {r["image_id"]: r for r in extracted_labels(images, template).collect()}
+    assert (rows[1]["width"], rows[1]["height"]) == (2, 2) and (rows[2]["width"], rows[2]["height"]) == (4, 2) and bytes(rows[2]["data"]) == bytes(range(8)) and rows[3]["data"] is None
+
+
+def test_read_blocks():
+    import numpy as np
+
+    image = np.zeros((100, 120), np.uint8)
+    image[30:90, 40:110] = 255
+    x, y, w, h = I.label_region(image)
+    seen = []
+
+    class Seen(Words):
+        def read_text(self, image, config):
+            seen.append(image.shape)
+            return super().read_text(image, config)
+
+    got = D.read_blocks(Seen(), image, C.OcrConfig(enhance_contrast=False))
+    assert got[-1].box[:2] == (x + 3, y + 14) and seen == [(w, h)]  # cropped, then turned
+    assert D.read_blocks(Seen(), image, C.OcrConfig(auto_rotate=False, enable_preprocessing=False))[0].box[:2] == (0, 0) and seen[-1] == (100, 120)
+    assert D.extract_text(Words(), image, C.OcrConfig()) == "PBS_0O1\nsecond"
+
+
+def brute_kept(boxes, confidences):
+    """Every free block after the holder, one by one."""
+    on = lambda a, b: (s := [min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k]) for k in (0, 1)]) and min(s) > 0 and s[0] * s[1] > 0.5 * min(a[2] * a[3], b[2] * b[3])
+    todo, out = list(range(len(boxes))), []
+    while todo:
+        holder, rest = todo[0], []
+        for j in todo[1:]:
+            if on(boxes[holder], boxes[j]):
+                holder = j if confidences[j] > confidences[holder] else holder
+            else:
+                rest.append(j)
+        todo = rest
+        out.append(holder)
+    return out
+
+
+def test_dedupe_order_and_otsu():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(0, 14))
+        boxes = [tuple(int(v) for v in r.integers(0, 12, 4)) for _ in range(n)]
+        sure = [float(v) for v in r.integers(0, 5, n)]
+        assert B.dedupe_order(boxes, sure) == brute_kept(boxes, sure)
+    for counts in (np.zeros(256, int), np.eye(1, 256, 7, dtype=int)[0] * 9):
+        assert I.otsu_threshold(counts) == 128
+    two = np.zeros(256, int)
+    two[[10, 11, 200, 201]] = 50, 40, 60, 30
+    assert I.otsu_threshold(two) == 11
+
+
+def test_image_files_are_red_first(spark, tmp_path):
+    rows = spark.createDataFrame([(bytearray((1, 2, 3, 4, 5, 6)), 3), (bytearray((1, 2, 3, 4)), 4), (bytearray((1, 2)), 1), (None, 3)], "d binary, n int")
+    got = [r[0] and bytes(r[0]) for r in rows.select(S.red_first("d", "n")).collect()]
+    assert got == [bytes((3, 2, 1, 6, 5, 4)), bytes((3, 2, 1, 4)), bytes((1, 2)), None]
+
+
 def test_config(spark):
     c = C.OcrConfig(language=" ", min_confidence=7, page_seg_mode=11)
     assert (c.language, c.min_confidence, c.page_seg_mode) == ("eng", 1.0, C.PageSegMode.SPARSE_TEXT) and c == C.OcrConfig(language="eng", min_confidence=1.0, page_seg_mode=11)
