@@ -84,7 +84,7 @@ def meetings(nodes: DataFrame) -> DataFrame:
     spread = nodes.repartition(parts, F.xxhash64("fp"))  # few bytes come in, many rows go out: as many tasks as the shuffle has
     emitted = spread.select("fp", F.explode(F.concat(variants(True), variants(False))).alias("v")).select("fp", "v.high", "v.half")
     met = emitted.groupBy("high", "half").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a <> b").select("high", "half", "n")
-    return emitted.join(met, ["high", "half"])
+    return emitted.join(met.hint("merge"), ["high", "half"])
 
 
 def near_pairs(met: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def stars(nodes: DataFrame) -> DataFrame:
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.filter(F.sequence(i + 1, F.lit(63)), lambda j: fp.bitwiseAND(bit(i).bitwiseOR(bit(j))) == 0), lambda j: fp.bitwiseXOR(bit(i)).bitwiseXOR(bit(j)))))
     emitted = nodes.select("fp", one.alias("near"), two.alias("far")).select("fp", F.explode(F.concat(F.transform("near", lambda v: F.struct(v.alias("v"), F.lit(True).alias("near"))), F.transform("far", lambda v: F.struct(v.alias("v"), F.lit(False).alias("near"))))).alias("x")).select("fp", "x.v", "x.near")
     met = emitted.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("near").alias("near")).where("near and a <> b").select("v", "a")
-    return emitted.join(met, "v").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    return emitted.join(met.hint("merge"), "v").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def bit(i: Column) -> Column:
@@ -123,9 +123,10 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     prints = checkpoint(fingerprints(docs, shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links_of(nodes.select("fp")))
-    of = checkpoint(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    known = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return prints.join(known, "fp").select("doc_id", "row", "fp", "component_id", "root")
+    # Merged: these sides grow with the documents.
+    of = checkpoint(nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    known = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge"), "root").select("fp", "root", "component_id")
+    return prints.join(known.hint("merge"), "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
