@@ -489,8 +489,11 @@ def confusions(spark, sf_dir):
     return confusion_table(spark)
 
 
-#: Every third document's lines begin with a quote, as a quoted first column does.
-QUOTED = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?m)^(\w+) (\w+)", '"$1 $2",')).otherwise(F.col("text"))
+def quoted() -> Column:
+    """Every third document's lines begin with a quote, as a quoted first column does."""
+    return F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?m)^(\w+) (\w+)", '"$1 $2",')).otherwise(F.col("text"))
+
+
 LINES_SQL = "select doc_id, i line_no, regexp_replace(l, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') line from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from (select doc_id, case when doc_id % 3 = 0 then regexp_replace(text, '(?m)^(\\w+) (\\w+)', '\"\\1 \\2\",', 'g') else text end as text from documents))"
 
 
@@ -501,7 +504,7 @@ select doc_id, line_no, regexp_matches(lower(line), 'sample|name|id|code|label|v
 from h
 """)
 def vocabulary_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(QUOTED, "\n")).alias("line_no", "line")).withColumn("line", T.control_trim(F.col("line")))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(quoted(), "\n")).alias("line_no", "line")).withColumn("line", T.control_trim(F.col("line")))
     line = F.col("line")
     return lines.where("line <> ''").select("doc_id", F.col("line_no").cast("long").alias("line_no"), VS.looks_like_header(line).alias("header"), VS.csv_first(line).alias("csv_value"), VS.tab_first(line).alias("tab_value"))
 
