@@ -96,7 +96,8 @@ def tile_links(members: DataFrame, data: DataFrame, make: Callable[[], Compare])
     tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("int")
     n, size = F.count("*"), F.sum(F.octet_length("data"))
     of = rows.groupBy("key").agg(tiles(F.count_if("outside"), F.coalesce(F.sum(F.when(F.col("outside"), F.octet_length("data"))), F.lit(0))).alias("lefts"), tiles(n, size).alias("rights"))
-    placed = rows.join(of, "key").withColumn("mark", F.xxhash64("key", "node"))
+    # Merged, so that a large group's rows can be split over tasks, and dealt anew before they are multiplied.
+    placed = rows.join(of.hint("merge"), "key").repartition("key", "node").withColumn("mark", F.xxhash64("key", "node"))
     side = lambda own, others, left: F.transform(F.sequence(F.lit(0), F.col(others) - 1), lambda k: F.struct((F.pmod("mark", own).cast("int") if left else k).alias("i"), (k if left else F.pmod("mark", own).cast("int")).alias("j"), F.lit(left).alias("left")))
     both = F.concat(F.when(F.col("outside"), side("lefts", "rights", True)).otherwise(F.array()), side("rights", "lefts", False))
     spread = placed.select("key", "node", "root", "outside", "data", F.explode(both).alias("x")).select("key", "x.i", "x.j", "x.left", "node", "root", "outside", "data")
@@ -114,9 +115,10 @@ def meeting_roots(met: DataFrame, verify: Step, may: Column, centre: Step, data:
     if crowds.isEmpty():
         return checkpoint(components(links))
     crowds = checkpoint(centre(crowds))
-    most = crowds.groupBy("key").agg(F.max(F.struct("centre", "node")).alias("x")).select("key", F.col("x.node").alias("most"))
+    # Written out, so that the join isn't one stage with the aggregation and a large crowd's rows can be split over tasks.
+    most = checkpoint(crowds.groupBy("key").agg(F.max(F.struct("centre", "node")).alias("x")).select("key", F.col("x.node").alias("most")))
     star = lambda name: F.struct(F.least("node", name).alias("a"), F.greatest("node", name).alias("b"))
-    stars = crowds.join(most, "key").select(F.explode(F.array(star("most"), star("low"))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+    stars = crowds.join(most.hint("merge"), "key").select(F.explode(F.array(star("most"), star("low"))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
     links = checkpoint(links.unionByName(verify(checkpoint(stars))))
     roots = checkpoint(components(links))
     known = checkpoint(named(crowds.select("key", "node"), roots))
