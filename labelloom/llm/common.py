@@ -64,8 +64,9 @@ def firsts_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
     """docs without the rows that aren't the first of their class by doc_id (null last) and row; columns as they are.
     classed: doc_id, row, class, for each row of docs. Of rows that are equal in all columns one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    first = classed.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    placed = checkpoint(classed.join(first, "class").select("doc_id", "row", (order == F.col("first")).alias("is_first")))
+    # Written out, so that the join isn't one stage with the aggregation and a large class's rows can be split over tasks.
+    first = checkpoint(classed.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"))
+    placed = checkpoint(classed.join(first.hint("merge"), "class").select("doc_id", "row", (order == F.col("first")).alias("is_first")))
     gone = placed.where("not is_first").select("doc_id", "row").distinct()
     kept = docs.join(gone, is_row(docs, gone), "left_anti")
     repeated = placed.where("is_first").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
