@@ -9,6 +9,10 @@ Places in a line are sums over buckets of the hash's range plus sums inside a bu
 chunks of slots plus ranks inside a chunk: no source is held or sorted in one task. The hash is that of the epoch, the
 doc_id, the text and the number of the copy, so that rows without a doc_id spread like all others.
 
+A mix of SOURCES sources or fewer is worked out on the driver and broadcast. One of more stays in tables, with the same
+targets and slots: sources are numbered by sums over ranges of their names, targets take a few aggregations, and slots
+find their sources by standing in one order with the sources' edges.
+
 How much is taken of a document follows from its place in line and the target; when it is, from the schedule: `slot` is
 the first slot that takes a part of it. mixed_rows() returns the amounts as rows; rows have no order, so who wants to
 read in the mix's order sorts by the slots of mix_documents().
@@ -26,7 +30,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import checkpoint, row_hash, table
@@ -38,7 +42,7 @@ BUCKET = 500
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: A mix names its sources; a column of more values than this isn't one, and an error says so.
+#: Sources that are held on the driver and broadcast; more stay in tables.
 SOURCES = 100_000
 #: 2**64 over the golden ratio.
 GOLDEN = np.uint64(11400714819323198485)
@@ -53,6 +57,10 @@ class Source:
     target: float
 
 
+#: Sources on the driver, or a table as of many_sources().
+Mix = Sequence[Source] | DataFrame
+
+
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
     """Shares of total by weight, none above most times its size; what is above is shared among the others."""
     capped: set[int] = set()
@@ -71,17 +79,56 @@ def row_sizes(docs: DataFrame) -> DataFrame:
     return few.groupBy("doc_id", "source", "row", "digest", "size").agg(F.count("*").alias("copies"))
 
 
-def sources(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[Source]:
+def sources(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> Mix:
     """In the order of their names' code points, null last; weights repeat."""
-    rows = sizes.groupBy("source").agg(F.sum("copies").alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("size")).limit(SOURCES + 1).collect()
+    per = sizes.groupBy("source").agg(F.sum("copies").alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("size"))
+    rows = per.limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+        return many_sources(per, weights, share, most)
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     given = [weights[i % len(weights)] for i in range(len(rows))]
     goals = targets([r["size"] for r in rows], given, share * sum(r["size"] for r in rows), most)
     return [Source(r["source"], r["rows"], r["size"], w, t) for r, w, t in zip(rows, given, goals)]
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df, written out in ranges of order, with part (the range) and place (growing within it)."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return checkpoint(placed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+
+
+def preceding(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df, as of ranged(), with the sum of value over all rows that stand before one. What is broadcast is a row a range."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("part").agg(F.sum(value).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    return df.select("*", F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(name)).join(F.broadcast(parts), "part").withColumn(name, F.col(name) + F.col("first")).drop("part", "place", "first")
+
+
+def many_sources(per: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """What source_table() says of sources(), from a table of source, rows and size."""
+    numbered = preceding(ranged(per.withColumn("unnamed", F.col("source").isNull()), "unnamed", "source"), F.lit(1), "source_no")
+    given = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
+    mix = checkpoint(numbered.withColumn("weight", given))
+    limit, capped, known = F.lit(most) * F.col("size"), F.lit(False), -1
+    total = share * mix.agg(F.sum("size")).first()[0]
+    while True:
+        now = mix.agg(F.count_if(capped).alias("n"), F.coalesce(F.sum(F.when(capped, limit)), F.lit(0)).alias("taken"), F.sum(F.when(~capped, F.col("weight"))).alias("weight")).first()
+        if now["n"] == known or now["weight"] is None:
+            break
+        known, even = now["n"], F.col("weight") * F.lit(float(total - now["taken"])) / F.lit(now["weight"])
+        capped = even > limit
+    target = F.when(capped, limit.cast("double")).otherwise(even)
+    buckets = F.ceil(F.col("rows") / F.greatest(F.lit(BUCKET), F.ceil(F.sqrt("rows"))))
+    return checkpoint(mix.select("source_no", "source", F.col("size").alias("source_size"), target.alias("target"), F.floor(target).alias("goal"), buckets.alias("buckets")))
+
+
+def in_table(spark: SparkSession, mix: Mix) -> DataFrame:
+    """The sources with a hint how to join them: a broadcast of SOURCES rows at most, else merged, so that a large
+    source's rows can be split over tasks."""
+    return mix.hint("merge") if isinstance(mix, DataFrame) else F.broadcast(source_table(spark, mix))
+
+
 def source_table(spark: SparkSession, mix: Sequence[Source]) -> DataFrame:
     rows = [(i, s.name, s.size, float(s.target), int(s.target), max(1, ceil(s.rows / max(BUCKET, ceil(s.rows**0.5))))) for i, s in enumerate(mix)]
     return spark.createDataFrame(rows, "source_no int, source string, source_size long, target double, goal long, buckets int")
@@ -89,7 +136,7 @@ def source_table(spark: SparkSession, mix: Sequence[Source]) -> DataFrame:
 
 def lines(sizes: DataFrame, known: DataFrame, epochs: int = MOST) -> DataFrame:
     """Rows of sizes in the lines: epoch, copy, at (words of the line before it, over all epochs), source_no, goal."""
-    each = sizes.where("size > 0").join(F.broadcast(known), sizes["source"].eqNullSafe(known["source"])).drop(known["source"])
+    each = sizes.where("size > 0").join(known, sizes["source"].eqNullSafe(known["source"])).drop(known["source"])
     each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     each = each.where(F.col("epoch") * F.col("source_size") < F.col("goal"))
     each = each.withColumn("mark", F.md5(F.concat_ws(":", "epoch", "doc_id", "digest", "copy")))
@@ -147,15 +194,56 @@ def schedule(spark: SparkSession, mix: Sequence[Source], block: int = BLOCK) ->
     return starts.mapInArrow(rank, "slot long, source_no int, block_no long").unionByName(tail)
 
 
-def mix_documents(sizes: DataFrame, mix: Sequence[Source], block: int = BLOCK, most: int = MOST) -> DataFrame:
+def many_slots(known: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What schedule() gives, for a table of sources: points and the sources' lower edges stand in one order, where the
+    last edge before a point is that of its source."""
+    spark = known.sparkSession
+    wanted = known.select("source_no", F.ceil(F.col("goal") / block).alias("need"))
+    blocks, rows = wanted.agg(F.sum("need"), F.count("*")).first()
+    if not blocks:
+        return spark.createDataFrame([], "slot long, source_no long, block_no long")
+    slots = blocks + 8 * rows
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                k = np.arange(chunk * CHUNK, min(slots, (chunk + 1) * CHUNK), dtype=np.uint64)
+                points = ((k * GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(k.astype(np.int64))], names=["x", "slot"])
+
+    chunks = -(-slots // CHUNK)
+    edges = checkpoint(preceding(ranged(wanted.where("need > 0"), "source_no"), F.col("need"), "low"))
+    points = spark.range(0, chunks, 1, min(chunks, 10_000)).mapInArrow(draw, "x double, slot long")
+    of = F.struct("source_no", "need").alias("of")
+    both = edges.select((F.col("low").cast("double") / float(blocks)).alias("x"), F.lit(-1).cast("long").alias("slot"), of)
+    line = ranged(both.unionByName(points, allowMissingColumns=True), "x", "slot")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    parts = line.groupBy("part").agg(F.max("of").alias("of")).select("part", F.max("of").over(earlier).alias("first"))
+    drawn = line.select("part", "slot", F.max("of").over(so_far).alias("of")).where("slot >= 0").join(F.broadcast(parts), "part")
+    drawn = checkpoint(drawn.select("slot", F.coalesce("of", "first").alias("of"), F.floor(F.col("slot") / CHUNK).alias("chunk")).select("slot", "of.*", "chunk"))
+    before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
+    starts = counts.select("source_no", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source_no", "chunk").orderBy("slot")
+    ranks = drawn.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["source_no", "chunk"])
+    used = ranks.select("slot", "source_no", (F.col("rank") + F.col("start")).alias("block_no"), "need").where("block_no < need").drop("need")
+    late = edges.join(counts.groupBy("source_no").agg(F.sum("n").alias("got")), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
+    late = late.select("source_no", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("block_no"))
+    tail = preceding(ranged(late, "source_no", "block_no"), F.lit(1), "slot").withColumn("slot", F.col("slot") + slots)
+    return used.unionByName(tail)
+
+
+def mix_documents(sizes: DataFrame, mix: Mix, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """The mix: slot, source_no, doc_id, source, row, copy, epoch, size, first_word (in the document), n_words."""
     spark = sizes.sparkSession
-    placed = lines(sizes, source_table(spark, mix), most).where("at < goal").withColumn("end", F.least(F.col("at") + F.col("size"), F.col("goal")))
+    placed = lines(sizes, in_table(spark, mix), most).where("at < goal").withColumn("end", F.least(F.col("at") + F.col("size"), F.col("goal")))
     numbers = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))
     pieces = placed.select("source_no", "source", "doc_id", "row", "copy", "epoch", "size", "at", "end", F.explode(numbers).alias("block_no"))
     low, high = F.greatest("at", F.col("block_no") * block), F.least("end", (F.col("block_no") + 1) * block)
     pieces = pieces.select("source_no", "block_no", "source", "doc_id", "row", "copy", "epoch", "size", (low - F.col("at")).alias("first_word"), (high - low).alias("n_words"))
-    return schedule(spark, mix, block).join(pieces, ["source_no", "block_no"])
+    slots = many_slots(mix, block) if isinstance(mix, DataFrame) else schedule(spark, mix, block)
+    return slots.join(pieces, ["source_no", "block_no"])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +252,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = sources(sizes)
     key = ["doc_id", "source", "row", "copy"]
     taken = mix_documents(sizes, mix).groupBy(*key).agg(F.sum("n_words").alias("taken"), F.min("slot").alias("slot"))
-    known = source_table(spark, mix).select("source", "source_size", "target")
+    known = in_table(spark, mix).select("source", "source_size", "target")
     rows = sizes.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    rows = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["source"])).drop(known["source"])
+    rows = rows.join(known, rows["source"].eqNullSafe(known["source"])).drop(known["source"])
     same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & rows["source"].eqNullSafe(taken["source"]) & (rows["row"] == taken["row"]) & (rows["copy"] == taken["copy"])
     return rows.join(taken, same, "left").select(rows["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), rows["source"], "slot")
 

@@ -358,6 +358,28 @@ def test_targets():
     assert sum(got) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s for t, s in zip(got, sizes))
 
 
+def test_many_sources_in_tables(spark, monkeypatch):
+    r = random.Random(5)
+    names = [f"s{i}" for i in range(40)] + ["é", "\U0001f600", "", "\uffff", None]
+    docs = [(i, " ".join("w" for _ in range(r.choice([0, 1, 30, 400, 9000]))), "big" if r.random() < 0.3 else r.choice(names)) for i in range(400)]
+    docs += [docs[3], (None, "a b", None), (None, None, "s1"), (7, "c", "only me")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    found = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(mixing, "SOURCES", most)
+        sizes = mixing.row_sizes(df)
+        mix = mixing.sources(sizes)
+        assert isinstance(mix, list) == (most > 0)
+        queries = []
+        for one in (df, df.where("text is null")):
+            monkeypatch.setattr(mixing, "table", lambda *a, one=one: one)
+            queries.append(sorted(map(str, mixing.op7_mixing(spark, "").collect())))
+        pieces = mixing.mix_documents(sizes, mix, 64).drop("source_no").collect()
+        found.append((queries, sorted(map(str, pieces)), sorted(map(str, mixing.mixed_rows(df).collect()))))
+    assert len(found[0][0][0]) == len(docs) and found[0][1] and found[0] == found[1]
+
+
 def test_mixing(spark):
     r = random.Random(8)
     docs = [(i, " ".join("w" for _ in range(r.choice([0, 1, 5, 40, 900]))), f"s{r.choice('aaaab')}") for i in range(300)]
