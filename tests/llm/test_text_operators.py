@@ -278,4 +278,4 @@ def test_small_files(spark, docs, tmp_path, scheme):
 
 
 def test_registered():
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)]
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 14)]
