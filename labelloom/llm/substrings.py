@@ -35,8 +35,10 @@ from labelloom.llm.common import bounded_batches, new_folder, table, text_or_emp
 WIDTH = 13
 SEED = 5
 #: Bytes of text in a chunk, and in what a bucket's paths come from, on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Chunks, and buckets, of a small table for each shuffle partition: what goes between them has up to a row for each pair.
+LEAST_EACH = 2
 NO_ID = 2**63 - 1
 #: Odd multipliers of rolling hashes, and of a last mix.
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +176,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, chunk_
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty().alias("text"))
     size = few.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(8 * partitions, -(-size // chunk_bytes)), max(8 * partitions, -(-size // bucket_bytes))
+    chunks, buckets = max(LEAST_EACH * partitions, -(-size // chunk_bytes)), max(LEAST_EACH * partitions, -(-size // bucket_bytes))
     dealt = few.withColumn("chunk", F.pmod(F.xxhash64("doc", "text"), F.lit(chunks)).cast("int"))
 
     def chunk_of(rows: pa.Table) -> Chunk:
