@@ -41,6 +41,8 @@ MARKS = "!\"#$%&()*,-./:;<=>?@[]^_`{|}~"
 SPACE = "Ġ"
 #: ASCII white space that isn't one blank or line feed between words.
 ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
+#: The same for any text: white space of other kinds, or two of it in a row.
+ODD_ANYWHERE = re.compile(r"[^\S \n]| {2}|\n{2}| \n|\n ")
 
 
 # ---------------------------------------------------------------- blocks
@@ -215,11 +217,8 @@ class Pieces(dict):
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
-        if text.isascii():
-            odd = any(x in text for x in ODD) or text[0] in " \n" or text[-1] in " \n"
-        else:
-            odd = len(text.split()) != text.count(" ") + text.count("\n") + 1
-        if odd or any(x in text for x in self.added):
+        odd = any(x in text for x in ODD) if text.isascii() else ODD_ANYWHERE.search(text)
+        if odd or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.word(first, "") + b"".join(map(self.__getitem__, rest))

@@ -254,6 +254,18 @@ def test_token_files(docs):
     assert token_output.token_output(docs.limit(0)).count() == 0
 
 
+def test_ids_over_all_white_space():
+    """100,000 texts of all kinds of white space, marks and scripts, against the library."""
+    r = random.Random(11)
+    pieces = token_output.Pieces(token_output.default_tokenizer(), added=True)
+    spaces = [" ", " ", " ", "\n", "\n\n", "\t", "\r\n", "\v", "\f", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u3000", "  ", "\ufeff"]
+    others = ["one", "é", "一段", "二", "ü'll", "'s", "don't", "12", "½", "٣", "x1", "!", "...", "«", "—", "_", "😀", "e\u0301", "ſ", "<|endoftext|>", "Русский", "كتاب", "a-b", "_x", "\x00"]
+    texts = ["一段\n\n　二　三", "é one\n\n\ttwo\tthree", *("".join(r.choice(spaces if r.random() < 0.45 else others) for _ in range(r.randint(1, 9))) for _ in range(100_000))]
+    expected = pieces.whole.encode_batch(texts, add_special_tokens=False)
+    wrong = [x for x, e in zip(texts, expected) if np.frombuffer(pieces.encode(x), "<u4").tolist() != e.ids]
+    assert not wrong, wrong[:3]
+
+
 def test_added_tokens(spark, monkeypatch):
     from tokenizers import Tokenizer
 
