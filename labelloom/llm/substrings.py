@@ -11,9 +11,10 @@ Consecutive edges of a text with one minimizer are a nonbranching path by themse
 3. Joined with their chunk again, paths are glued along each document: a maximal run of edges with smaller sources is a
    repeated span, with its place and the source of each stretch. The words of these spans are cut.
 
-An edge is told by 64 bits of its minimizer, its place and 32 bits of an independent hash of all its words; places are
-verified against the chunk's own text when they come back. Nothing is dropped: an edge that stands once costs a
-share of its path's row and goes no further than its bucket. The number of chunks and buckets grows with the text.
+An edge is told by 64 bits of its minimizer, its place and 32 bits of an independent hash of all its words, which verify
+each other. What comes back names edges by bucket and place, which the chunk finds again in its own paths, made anew from
+its texts. Nothing is dropped: an edge that stands once costs a share of its path's row and goes no further than its bucket.
+The number of chunks and buckets grows with the text.
 
 Words are what stands between ASCII white space. Sources are compared by doc_id, a null one counting as the largest long. Rows
 of one doc_id aren't copies of each other; rows with an equal doc_id and text have equal results, one for each row. Null
@@ -23,8 +24,6 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +78,7 @@ class Paths:
             at[smaller] = np.nonzero(smaller)[0] + k
         self.first = np.nonzero(np.r_[True, at[1:] != at[:-1]])[0] if n else np.zeros(0, np.int64)
         self.sizes = np.diff(np.r_[self.first, n])
-        self.seeds = least[self.first]
+        self.seeds = mixed(least[self.first])  # spread anew: minima are small
         self.places = at[self.first] - self.first
         #: A path has fewer edges than an edge has words, so its first and its last edge hold all its words.
         self.names = mixed((self.edges[self.first] * STEP + self.edges[self.first + self.sizes - 1]) * STEP + self.sizes.astype(np.uint64)) if n else np.zeros(0, np.uint64)
