@@ -203,7 +203,7 @@ def test_alignment(spark, monkeypatch, more):
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(120)] + [None, "", " ", "  a", "a ", "▁", "a ▁b c", "same text", "same text", "same text", "internationalisation antidisestablishmentarianism"]
     df = spark.createDataFrame([(i if i else None, t, ["x"]) for i, t in enumerate(texts)], "doc_id long, text string, chunk array<string>").repartition(3)
     monkeypatch.setattr(token_alignment, "KEPT_GROUPS", 50 if more else 400_000)
-    monkeypatch.setattr(token_alignment, "KEPT_WORDS", 20 if more else 400_000)
+    monkeypatch.setattr(token_alignment, "AT_ONCE", 30 if more else 2 << 20)
     got = {r["doc_id"] or 0: tuple(r)[1:] for r in token_alignment.aligned(df, **more).select(*COLUMNS).collect()}
     assert got == dict(enumerate(brute_alignment(texts)))
     assert token_alignment.aligned(df.limit(0)).collect() == []
@@ -218,10 +218,23 @@ def test_whole_table_is_aligned(spark):
     assert whole.columns == COLUMNS and whole.count() == len(texts_of(spark))
 
 
-def test_words_are_encoded_alone():
+def test_texts_are_grouped_together():
+    """Whatever texts stand beside each other, a text's groups are its own."""
     r = random.Random(5)
-    of = token_alignment.Groups(token_alignment.tokenizers(*token_alignment.default_tokenizers()))
-    letters = list("ab'stre1,.!é中　 \t\n\r  \x1c\x85​᠎😀́<>|ſ \x00\x0b▁") + ["'s", "'ll", " the", " and", "\n\n", "  ", "<s>", "<|endoftext|>"]
-    for _ in range(5000):
-        text = "".join(r.choice(letters) for _ in range(r.randint(1, 14)))
-        assert [of.names[k] for k in of.text(text)] == (of.of.groups(text) or [])
+    letters = list("ab'stre1,.!é中　 \t\n\r  \x1c\x85​᠎😀́<>|ſ \x00\x0b▁") + ["'s", "'ll", " the", " and", "\n\n", "  ", "<s>", "<|endoftext|>", "x" * 50]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(2000)]
+    groups = token_alignment.Groups(token_alignment.tokenizers(*token_alignment.default_tokenizers()))
+    names = [[groups.names[k] for k in x] for at in range(0, 2000, 37) for x in groups.texts(texts[at : at + 37])]
+    digests = [hashlib.sha256(";".join(x).encode()).hexdigest() if x else "" for x in names]
+    assert digests == [x[-1] for x in brute_alignment(texts)] and [len(x) for x in names] == [x[2] for x in brute_alignment(texts)]
+    assert groups.texts([]) == []
+
+
+def test_ranked_ids_are_the_library_s():
+    r = random.Random(8)
+    of = token_alignment.tokenizers(*token_alignment.default_tokenizers())
+    assert of.ranked() is not None
+    letters = list("ab'stre1,.!é中　 \t\n\r  \x1c\x85​᠎😀́<>|ſ \x00\x0b▁½٣") + ["'s", "'ll", " the", " and", "\n\n", "  ", "<s>", "<|endoftext|>", "Русский", "كتاب"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(30_000)]
+    whole = of.a.encode_batch([" " + x for x in texts], add_special_tokens=False)
+    assert [of.ids_a(" " + x) for x in texts] == [x.ids for x in whole]
