@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a batch that are Python objects at once, and bytes of an Arrow batch.
@@ -51,8 +51,17 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash of the whole row: with doc_id, it tells rows apart that differ in any column."""
-    return F.xxhash64(*(F.to_json(c) if kind.startswith("map") else df[c] for c, kind in df.dtypes))
+    """A hash of the whole row: with doc_id, it tells rows apart that differ in any column. Columns that hold a map or a
+    variant at any depth have no hash of their own; their JSON has."""
+    column = lambda c: df["`" + c.replace("`", "``") + "`"]
+    return F.xxhash64(*(F.to_json(F.struct(column(c))) if re.search(r"\b(map<|variant\b)", kind) else column(c) for c, kind in df.dtypes))
+
+
+def one_of_equals(df: DataFrame) -> DataFrame:
+    """One row of those that are equal in all columns: numbered, since columns of some kinds can't be compared."""
+    number = f"number_{uuid.uuid4().hex}"
+    order = Window.partitionBy(df["doc_id"].cast("long"), row_hash(df)).orderBy(F.lit(0))
+    return df.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
 
 
 def is_row(docs: DataFrame, rows: DataFrame) -> Column:
@@ -72,7 +81,7 @@ def firsts_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
     repeated = placed.where("is_first").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, is_row(kept, repeated), "left_semi").dropDuplicates()
+    once = one_of_equals(kept.join(repeated, is_row(kept, repeated), "left_semi"))
     return kept.join(repeated, is_row(kept, repeated), "left_anti").unionByName(once)
 
 

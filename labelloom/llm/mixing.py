@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import checkpoint, row_hash, table
+from labelloom.llm.common import checkpoint, one_of_equals, row_hash, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 2048
@@ -266,7 +266,7 @@ def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     taken = mix_documents(sizes, sources(sizes, weights, share, most), most=most).groupBy("doc_id", "source", "row", "copy", "epoch", "size").agg(F.sum("n_words").alias("n"))
     taken = taken.select("doc_id", "source", "row", "size", F.col("n").alias("taken"))
     if not sizes.where("copies > 1").isEmpty():  # what is taken names each copy: one row stands for those that are equal
-        docs = docs.dropDuplicates()
+        docs = one_of_equals(docs)
     same = docs["doc_id"].cast("long").eqNullSafe(taken["doc_id"]) & docs["source"].cast("string").eqNullSafe(taken["source"]) & (row_hash(docs) == taken["row"])
     cut = F.array_join(F.slice(F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), taken["taken"].cast("int")), "")
     part = taken["taken"] < taken["size"]
