@@ -46,9 +46,9 @@ def lines_else_words(blocks: DataFrame) -> DataFrame:
 
 def lines_else_distinct(blocks: DataFrame) -> DataFrame:
     """P5: image_id, block_idx, text: an image's LINE texts, repeats and all, or where it has none the distinct texts of
-    all its blocks, each at its first place (O5)."""
-    full = blocks.where("text <> ''")
-    marked = full.withColumn("has_line", F.max(F.col("type") == "LINE").over(Window.partitionBy("image_id")))
+    all its blocks, each at its first place (O5). Empty texts are left out after that is asked: an image whose LINE texts
+    are all empty has none."""
+    marked = blocks.withColumn("has_line", F.max(F.col("type") == "LINE").over(Window.partitionBy("image_id"))).where("text <> ''")
     lines = marked.where("has_line and type = 'LINE'").select("image_id", "block_idx", "text")
     rest = marked.where("not has_line").groupBy("image_id", "text").agg(F.min("block_idx").alias("block_idx"))
     return lines.unionByName(rest)

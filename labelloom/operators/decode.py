@@ -224,11 +224,12 @@ def detect_texts(images: DataFrame, make: Callable[[], Decoder], config: OcrConf
     return images.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data").mapInPandas(run, "image_id long, texts array<string>, success boolean, error string")
 
 
-def decode_regions(images: DataFrame, regions: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
-    """decoded_regions (DECODED) of regions (image_id, field_index, region_type, box; a null box: the whole image). An
-    image's regions go to it as an array, so that its pixels move once; make() runs once in a worker (E1)."""
-    wanted = regions.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("field_index", "region_type", "box"))).alias("regions"))
-    rows = wanted.join(images.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data"), "image_id", "left")
+REGION = "struct<field_index int, region_type string, box struct<x int, y int, width int, height int>>"
+
+
+def decode_rows(rows: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
+    """decoded_regions (DECODED) of images with their regions (array of REGION; a null box: the whole image): all regions of
+    an image are read from one copy of its pixels. make() runs once in a worker (E1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = make()
@@ -243,4 +244,38 @@ def decode_regions(images: DataFrame, regions: DataFrame, make: Callable[[], Dec
                     out.append({"image_id": r["image_id"], "field_index": g["field_index"], "processing_ms": int(1000 * (time.monotonic() - began)), **found})
             yield pd.DataFrame(out, columns=["image_id", "field_index", "text", "confidence", "box", "source_type", "format", "processing_ms", "success", "error"])
 
-    return rows.mapInPandas(run, DECODED)
+    return rows.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data", "regions").mapInPandas(run, DECODED)
+
+
+def decode_in_place(images: DataFrame, regions: Column, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
+    """DECODED of regions that follow from an image's own columns (array of REGION): a projection, so pixels stay where they
+    were read. Images without regions give no row."""
+    return decode_rows(images.withColumn("regions", regions).where(F.size("regions") > 0), make, config)
+
+
+def decode_regions(images: DataFrame, regions: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
+    """DECODED of a table of regions (image_id, field_index, region_type, box). An image's regions go to it as an array, so
+    that its pixels move once, by image_id; where regions follow from a template, decode_in_place moves none."""
+    wanted = regions.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("field_index", "region_type", "box"))).alias("regions"))
+    return decode_rows(wanted.join(images.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data"), "image_id", "left"), make, config)
+
+
+def extract_texts(images: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
+    """image_id, text (a line each, without auto-crop), success, error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = make()
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                image, broken = pixels(r)
+                text = ""
+                if image is not None:
+                    try:
+                        text = extract_text(decoder, image, config)
+                    except Exception as e:  # noqa: BLE001  a plug-in may raise anything; the row says so
+                        broken = f"{type(e).__name__}: {e}"
+                out.append((r["image_id"], text, broken is None, broken))
+            yield pd.DataFrame(out, columns=["image_id", "text", "success", "error"])
+
+    return images.select("image_id", "width", "height", "n_channels", "bits_per_sample", "data").mapInPandas(run, "image_id long, text string, success boolean, error string")

@@ -135,6 +135,15 @@ def same_entry(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.alias("l").join(right.alias("r"), F.get("l.uris", F.lit(0)) == F.get("r.uris", F.lit(0)))
 
 
+def entry_classes(rows: DataFrame, key: str = "image_id") -> DataFrame:
+    """P13 for a whole project: key, entry: the smallest key among the rows with the same first URI, so that n equal entries
+    are n rows. A row without a URI is an entry of its own."""
+    first = rows.select(key, F.get("uris", F.lit(0)).alias("uri"))
+    known = first.where("uri is not null")
+    least = known.groupBy("uri").agg(F.min(key).alias("entry"))
+    return known.join(least, "uri").select(key, "entry").unionByName(first.where("uri is null").select(key, F.col(key).alias("entry")))
+
+
 def add_field(fields: DataFrame, image_ids: DataFrame, region_type: str = "TEXT", box: Column | None = None, prefix: str = "", kind: str | None = None) -> DataFrame:
     """One empty field more for each of image_ids; its number is the image's number of fields."""
     kind = kind or ("barcode" if region_type == "BARCODE" else "field")

@@ -1,7 +1,8 @@
 """Templates: regions, positional mapping, building and writing.
 
 A template's fields are rows of field_index, metadata_key, example_text, enabled, nx, ny, nw, nh, has_bounding_box,
-region_type. A template has few fields, whatever the number of images: it is broadcast.
+region_type. A template has few fields, whatever the number of images: it is broadcast where it has MOST_FIELDS at most,
+and as an array literal its regions are worked out in the image's own row, without any exchange.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from labelloom.functions.text import numeric_key
 FIELDS = "field_index int, metadata_key string, example_text string, enabled boolean, nx double, ny double, nw double, nh double, has_bounding_box boolean, region_type string"
 DILATION = 1.2
 LEAST_SIDE = 5
-#: Fields that a template has at most: what makes it fit for a broadcast.
+#: Fields that are broadcast at most; the rows of a larger template are joined as Spark sees fit.
 MOST_FIELDS = 10_000
 
 #: Names in the JSON form, by column.
@@ -68,8 +69,6 @@ class Template:
     def __post_init__(self) -> None:
         if self.dilation < 1:
             warnings.warn(f"a dilation of {self.dilation} shrinks the boxes", stacklevel=2)
-        if len(self.mappings) > MOST_FIELDS:
-            raise ValueError(f"more than {MOST_FIELDS} fields")
 
     def has_boxes(self) -> bool:
         """P8."""
@@ -131,20 +130,39 @@ def to_json(template: Template) -> str:
     return json.dumps(some(out), indent=2, ensure_ascii=False)
 
 
+def few(fields: DataFrame, most: int = MOST_FIELDS) -> DataFrame:
+    """fields, marked for a broadcast if there are no more than that."""
+    return F.broadcast(fields) if fields.limit(most + 1).count() <= most else fields
+
+
+def region_array(template: Template, width: Column, height: Column, least_side: int = LEAST_SIDE) -> Column:
+    """J6, G7, G8, P7 within an image's row: array of struct<field_index, region_type, box>, in the order of the fields. The
+    template is one literal."""
+    some = [{"i": m.field_index, "t": m.region_type, "x": m.nx, "y": m.ny, "w": m.nw, "h": m.nh} for m in template.mappings if m.enabled and m.has_bounding_box]
+    literal = F.from_json(F.lit(json.dumps(some)), "array<struct<i int, t string, x double, y double, w double, h double>>")
+
+    def region(f: Column) -> Column:
+        kind = F.coalesce(f["t"], F.lit("TEXT"))
+        b = G.scaled_box(f["x"], f["y"], f["w"], f["h"], width, height, G.effective_dilation(kind, F.lit(float(template.dilation))))
+        return F.struct(f["i"].alias("field_index"), kind.alias("region_type"), b.alias("box"))
+
+    return F.array_sort(F.filter(F.transform(literal, region), lambda r: (r["box"]["width"] >= least_side) & (r["box"]["height"] >= least_side)))
+
+
 def template_regions(images: DataFrame, fields: DataFrame, dilation: float = DILATION, least_side: int = LEAST_SIDE) -> DataFrame:
     """image_id, field_index, metadata_key, region_type, box for each enabled field with a box of each
     image (image_id, width, height); boxes of less than least_side pixels are left out. The template is the small side."""
     some = fields.where("enabled and has_bounding_box")
     kind = F.coalesce("region_type", F.lit("TEXT"))
     b = G.scaled_box(F.col("nx"), F.col("ny"), F.col("nw"), F.col("nh"), F.col("width"), F.col("height"), G.effective_dilation(kind, F.lit(float(dilation))))
-    pairs = images.select("image_id", "width", "height").join(F.broadcast(some), how="cross")
+    pairs = images.select("image_id", "width", "height").join(few(some), how="cross")
     return pairs.select("image_id", "field_index", "metadata_key", kind.alias("region_type"), b.alias("box")).where((F.col("box.width") >= least_side) & (F.col("box.height") >= least_side))
 
 
 def positional_fields(detected: DataFrame, fields: DataFrame) -> DataFrame:
     """image_id, field_index, metadata_key, text: detected (image_id, texts: array, by place) against the enabled
     fields; a place that wasn't detected gives the empty text. No shuffle: the template is broadcast, texts are an array."""
-    pairs = detected.select("image_id", "texts").join(F.broadcast(fields.where("enabled").select("field_index", "metadata_key")), how="cross")
+    pairs = detected.select("image_id", "texts").join(few(fields.where("enabled").select("field_index", "metadata_key")), how="cross")
     return pairs.select("image_id", "field_index", "metadata_key", F.coalesce(F.get("texts", F.col("field_index")), F.lit("")).alias("text"))
 
 

@@ -217,13 +217,15 @@ class OcrBuilder:
         from pyspark.sql import functions as F
 
         from labelloom.functions.geometry import BOX
-        from labelloom.operators.decode import decode_regions
+        from labelloom.operators.decode import REGION, decode_in_place, decode_regions
 
         config = self.config
 
         def read(images):
             cut = F.lit(None).cast(BOX) if config.crop_region is None else F.struct(*(F.lit(v).alias(k) for k, v in zip(("x", "y", "width", "height"), config.crop_region)))
-            wanted = regions if regions is not None else images.select("image_id", F.lit(0).alias("field_index"), F.lit("TEXT").alias("region_type"), cut.alias("box"))
-            return decode_regions(images, wanted, make, config)
+            if regions is not None:
+                return decode_regions(images, regions, make, config)
+            whole = F.array(F.struct(F.lit(0).alias("field_index"), F.lit("TEXT").alias("region_type"), cut.alias("box"))).cast(f"array<{REGION}>")
+            return decode_in_place(images, whole, make, config)
 
         return read

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import TextFilter, filter_text_fields
@@ -13,8 +13,8 @@ from labelloom.operators import blocks as B
 from labelloom.operators import fields as R
 from labelloom.operators import images as I
 from labelloom.operators import metadata as M
-from labelloom.operators.decode import Decoder, decode_regions, detect_texts
-from labelloom.operators.template import Extraction, Template, positional_fields, template_regions
+from labelloom.operators.decode import REGION, Decoder, decode_in_place, detect_texts
+from labelloom.operators.template import Extraction, Template, few, positional_fields, region_array
 from labelloom.operators.vocabulary import Matcher, correct
 from labelloom.plans.config import OcrConfig, batch_config, config_of
 
@@ -30,10 +30,9 @@ def extraction_step(extraction: Extraction) -> Callable[[np.ndarray], np.ndarray
 
 def read_fields(images: DataFrame, template: Template, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
     """Decoded regions of a template with positions, with their keys: image_id, field_index, metadata_key, text, ..."""
-    spark = images.sparkSession
-    fields = template.fields(spark)
-    regions = template_regions(images, fields, template.dilation)
-    return decode_regions(images, regions, make, config).join(F.broadcast(fields.select("field_index", "metadata_key", "region_type")), "field_index")
+    fields = few(template.fields(images.sparkSession).select("field_index", "metadata_key", "region_type"))
+    found = decode_in_place(images, region_array(template, F.col("width"), F.col("height")), make, config)
+    return found.join(fields, "field_index")
 
 
 def extracted_labels(images: DataFrame, template: Template) -> DataFrame:
@@ -83,15 +82,29 @@ def detected_texts(blocks: DataFrame) -> DataFrame:
     return B.lines_else_distinct(blocks).groupBy("image_id").agg(B.ordered(F.col("text")).alias("texts"))
 
 
-def read_labels(images: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
-    """Whole images read at once; lazy, so there is no asynchronous twin."""
-    whole = images.select("image_id", F.lit(0).alias("field_index"), F.lit("TEXT").alias("region_type"), F.lit(None).cast("struct<x int, y int, width int, height int>").alias("box"))
-    return decode_regions(images, whole, make, config)
+def whole_regions(*kinds: str) -> Column:
+    """An array of regions, one for each kind of reading, of the whole image."""
+    return F.array(*(F.struct(F.lit(i).alias("field_index"), F.lit(kind).alias("region_type"), F.lit(None).cast("struct<x int, y int, width int, height int>").alias("box")) for i, kind in enumerate(kinds))).cast(f"array<{REGION}>")
+
+
+def read_labels(images: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig(), kind: str = "TEXT", box: Column | None = None) -> DataFrame:
+    """Each image read at once, whole or within a box of its own columns, as TEXT, BARCODE or AUTO; lazy, so there is
+    no asynchronous twin."""
+    regions = whole_regions(kind) if box is None else F.array(F.struct(F.lit(0).alias("field_index"), F.lit(kind).alias("region_type"), box.alias("box"))).cast(f"array<{REGION}>")
+    return decode_in_place(images, regions, make, config)
 
 
 def scan_full_image(images: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
-    """Barcodes of the whole image and then its text, both."""
-    whole = images.select("image_id", F.lit(None).cast("struct<x int, y int, width int, height int>").alias("box"))
-    codes = decode_regions(images, whole.select("image_id", F.lit(0).alias("field_index"), F.lit("BARCODE").alias("region_type"), "box"), make, config).where("text <> ''")
-    texts = decode_regions(images, whole.select("image_id", F.lit(1).alias("field_index"), F.lit("TEXT").alias("region_type"), "box"), make, config)
-    return B.append_after(codes, texts)
+    """Barcodes of the whole image and then its text, both from one pass; source_rank 0 and 1."""
+    found = decode_in_place(images, whole_regions("BARCODE", "TEXT"), make, config)
+    return found.where("field_index = 1 or text <> ''").withColumn("source_rank", F.col("field_index"))
+
+
+def label_metadata(entries: DataFrame, images: DataFrame, make: Callable[[], Decoder], key: str = "OCR_field_0", kind: str = "TEXT", config: OcrConfig = OcrConfig()) -> DataFrame:
+    """Reads each entry's label image and stores its text under key, in one call: entries (image_id, metadata) with the
+    new metadata and applied (1 where something was stored). Entries without a label, or with an empty text, stay as they are."""
+    found = read_labels(images, make, config, kind).where("success and text <> ''").select("image_id", F.col("text").alias("label_text"))
+    rows = entries.join(found, "image_id", "left")
+    new = F.when(F.col("label_text").isNotNull(), M.set_one(F.col("metadata"), F.lit(key), F.col("label_text"))).otherwise(F.col("metadata"))
+    applied = F.when(F.col("label_text").isNotNull(), M.upsert_count(F.create_map(F.lit(key), F.col("label_text")))).otherwise(0)
+    return rows.select(*(c for c in entries.columns if c != "metadata"), new.alias("metadata"), applied.alias("applied"))

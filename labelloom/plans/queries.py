@@ -20,6 +20,8 @@ from labelloom.operators import images as I
 from labelloom.operators import metadata as M
 from labelloom.operators import template as P
 from labelloom.operators import vocabulary as J
+from labelloom.operators.linear import LinearDecoder, drawn
+from labelloom.plans.pipeline import read_fields, read_labels
 from labelloom.sources import images as S
 from labelloom.sources import vocabulary as VS
 
@@ -223,11 +225,11 @@ def line_else_word(spark, sf_dir):
 
 
 @query(f"""
-with {BLOCKS}, m as (select *, bool_or(type = 'LINE') over (partition by image_id) l from blocks where text <> '')
-select image_id, block_idx, text from m where l and type = 'LINE' union all select image_id, min(block_idx), text from m where not l group by image_id, text
+with {BLOCKS}, b as (select * replace (case when x % 5 = 0 then '' else text end as text) from blocks), m as (select *, bool_or(type = 'LINE') over (partition by image_id) l from b)
+select image_id, block_idx, text from m where l and type = 'LINE' and text <> '' union all select image_id, min(block_idx), text from m where not l and text <> '' group by image_id, text
 """)
 def line_else_distinct(spark, sf_dir):
-    return B.lines_else_distinct(blocks(spark, sf_dir))
+    return B.lines_else_distinct(blocks(spark, sf_dir).withColumn("text", F.when(F.col("box.x") % 5 == 0, "").otherwise(F.col("text"))))
 
 
 @query(f"""
@@ -373,9 +375,10 @@ def pivot_results(spark, sf_dir):
     return P.pivot_results(positional_mapping(spark, sf_dir), TEMPLATE.keys())
 
 
-@query(f"with {TEMPLATE_SQL} select field_index, coalesce(metadata_key, 'OCR_field_' || field_index) metadata_key, case field_index when 0 then 'CASE-1' else '' end example_text from template")
+@query("select p_partkey field_index, case when p_size % 3 = 0 then 'OCR_field_' || p_partkey else p_brand end metadata_key, case when p_size % 2 = 0 then '' else p_type end example_text from part")
 def template_preview(spark, sf_dir):
-    return P.preview_rows(TEMPLATE.fields(spark))
+    key, example = F.when(F.col("p_size") % 3 != 0, F.col("p_brand")), F.when(F.col("p_size") % 2 != 0, F.col("p_type"))
+    return P.preview_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("field_index"), key.alias("metadata_key"), example.alias("example_text")))
 
 
 @query(f"""
@@ -484,9 +487,19 @@ def vocab_best_match_weighted(spark, sf_dir):
     return J.best_matches(misread(spark, sf_dir), vocabulary(spark, sf_dir), J.Matcher(ocr_weights=True)).select("text", "matched", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("select c1, c2, weight from (values " + ", ".join(f"('{a}', '{b}', {w}::double)" for w, g in CONFUSIONS.items() for p in g for a, b in ((p[0], p[1]), (p[1], p[0]))) + ") t(c1, c2, weight)")
+CONFUSED = ", ".join(f"('{a}', '{b}', {w}::double)" for w, g in CONFUSIONS.items() for p in g for a, b in ((p[0], p[1]), (p[1], p[0])))
+
+
+@query(f"""
+with c(c1, c2, weight) as (values {CONFUSED}), n as (select distinct p_name || ' ' || p_brand || ' 0O1l' as t from part), g as (select t, substr(t, i, 1) c1, substr(t, i + 1, 1) c2 from (select t, unnest(range(1, length(t))) i from n))
+select c.c1, c.c2, weight, count(*) places, count(distinct t) names from g join c on g.c1 = c.c1 and g.c2 = c.c2 group by all
+""")
 def confusions(spark, sf_dir):
-    return confusion_table(spark)
+    """Which confusable letters stand beside each other in the names of parts."""
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand", F.lit("0O1l")).alias("t")).distinct()
+    places = names.select("t", F.explode(F.sequence(F.lit(1), F.char_length("t") - 1)).alias("i"))
+    pairs = places.select("t", F.col("t").substr(F.col("i"), F.lit(1)).alias("c1"), F.col("t").substr(F.col("i") + 1, F.lit(1)).alias("c2"))
+    return pairs.join(F.broadcast(confusion_table(spark)), ["c1", "c2"]).groupBy("c1", "c2", "weight").agg(F.count("*").alias("places"), F.count_distinct("t").alias("names"))
 
 
 def quoted() -> Column:
@@ -683,9 +696,17 @@ def model_files(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", T.traineddata_name(F.col("n_name")).alias("file"))
 
 
-@query("select name, label, keeps from (values " + ", ".join(f"('{n}', '{label}', {keeps})" for n, label, keeps in (("Letters Only", "abcABC", True), ("Numbers Only", "123", True), ("Alphanumeric", "aA1", True), ("Filename Safe", "-_.", True), ("Standard Chars", "&*!", False), ("No Whitespace", "A B->A_B", False))) + ") t(name, label, keeps)")
+FILTERED = [(f, PLAIN[f"filter_{f.name.lower().replace(' ', '_')}"]) for f in T.ALL_FILTERS]
+
+
+@query(" union all ".join(f"select '{f.name}' as name, '{f.label}' as label, {f.keeps} as keeps, count(*) filter (regexp_replace(p_name || ' ' || p_brand, '{pattern}', '{new}', 'g') <> p_name || ' ' || p_brand) as changed, sum(length(regexp_replace(p_name || ' ' || p_brand, '{pattern}', '{new}', 'g')))::bigint as letters from part" for f, (_, pattern, new) in FILTERED))
 def filter_kinds(spark, sf_dir):
-    return spark.createDataFrame([(f.name, f.label, f.keeps) for f in T.ALL_FILTERS], "name string, label string, keeps boolean")
+    """What each filter, by name and kind, does to the names of parts."""
+    text = F.concat_ws(" ", "p_name", "p_brand")
+    rows = table(spark, sf_dir, "part").select(text.alias("text"))
+    each = F.array(*(F.struct(F.lit(f.name).alias("name"), F.lit(f.label).alias("label"), F.lit(f.keeps).alias("keeps"), f(F.col("text")).alias("new")) for f in T.ALL_FILTERS))
+    applied = rows.select("text", F.explode(each).alias("x")).select("text", "x.*")
+    return applied.groupBy("name", "label", "keeps").agg(F.count_if(F.col("new") != F.col("text")).alias("changed"), F.sum(F.char_length("new")).alias("letters"))
 
 
 @query(f"with {BLOCKS} select image_id, block_idx, row_number() over (partition by image_id order by block_idx) row_no, cast(cast(round(confidence * 10) as int) * 10 as varchar) || '%' shown from blocks")
@@ -696,10 +717,10 @@ def numbered_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- single writes and edits: K1, K7, K10, K12, K13, R4, R6, R7
 
-@query("select o_orderkey, case when k ~ '^[a-zA-Z_][a-zA-Z0-9_-]*$' and length(k) <= 128 then o_orderstatus end one, case when k <> '' then coalesce(v, '') end unchecked, 'kept' host from (select o_orderkey, o_orderstatus, case o_orderkey % 4 when 0 then 'OCR_case' when 1 then o_orderpriority when 2 then '' else 'name' end k, case when o_orderkey % 8 < 4 then o_orderstatus end v from orders where o_orderkey % 4 <> 3)")
+@query("select o_orderkey, case when k ~ '^[a-zA-Z_][a-zA-Z0-9_-]*$' and length(k) <= 128 and k <> 'name' then o_orderstatus end one, case when k <> '' then coalesce(v, '') end unchecked, 'kept' host from (select o_orderkey, o_orderstatus, case o_orderkey % 4 when 0 then 'OCR_case' when 1 then o_orderpriority when 2 then '' else 'name' end k, case when o_orderkey % 8 < 4 then o_orderstatus end v from orders)")
 def metadata_set_one(spark, sf_dir):
     n = F.col("o_orderkey") % 4
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 3").withColumn("k", F.when(n == 0, "OCR_case").when(n == 1, F.col("o_orderpriority")).otherwise(""))
+    rows = table(spark, sf_dir, "orders").withColumn("k", F.when(n == 0, "OCR_case").when(n == 1, F.col("o_orderpriority")).when(n == 2, "").otherwise("name"))
     rows = rows.withColumn("metadata", F.create_map(F.lit("host"), F.lit("kept"))).withColumn("v", F.when(F.col("o_orderkey") % 8 < 4, F.col("o_orderstatus")))
     one, free = M.set_one(F.col("metadata"), F.col("k"), F.col("o_orderstatus")), M.set_unchecked(F.col("metadata"), F.col("k"), F.col("v"))
     return rows.select("o_orderkey", M.get(one, F.col("k")).alias("one"), M.get(free, F.col("k")).alias("unchecked"), M.get(free, "host").alias("host"))
@@ -759,10 +780,10 @@ def appended_blocks(spark, sf_dir):
     return B.append_after(B.of_type(rows, "WORD"), B.of_type(rows, "LINE")).select("image_id", "block_idx", "source_rank")
 
 
-@query("select a.page_id a, b.page_id b from pages a join pages b on string_split(a.url, '?')[1] = string_split(b.url, '?')[1]")
+@query("select page_id, min(page_id) over (partition by string_split(url, '?')[1]) entry from pages")
 def same_entries(spark, sf_dir):
-    first = table(spark, sf_dir, "pages").select("page_id", F.array(F.get(F.split("url", r"\?"), F.lit(0)), F.lit("second")).alias("uris"))
-    return R.same_entry(first.withColumnRenamed("page_id", "a"), first.withColumnRenamed("page_id", "b")).select("a", "b")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.array(F.get(F.split("url", r"\?"), F.lit(0)), F.lit("second")).alias("uris"))
+    return R.entry_classes(rows, "page_id")
 
 
 @query("with p as (select list_filter(string_split(url, '/'), lambda x: x <> '') parts from pages) select count(*) filter (len(list_filter(parts, lambda x: contains(lower(x), 'th') or contains(lower(x), '.org'))) > 0) with_label, count(*) total from p")
@@ -773,3 +794,51 @@ def images_with_labels(spark, sf_dir):
 @query(f"with {BLOCKS} select image_id, block_idx, x - 5 x, y - 5 y, w + 10 w, h + 10 h from blocks")
 def expanded_boxes(spark, sf_dir):
     return flat(blocks(spark, sf_dir).select("image_id", "block_idx", G.expand(F.col("box"), 5).alias("box")))
+
+
+# ---------------------------------------------------------------- barcodes from pixels: E7-E11, E14, J6, C4
+
+EAN_SQL = "lpad(cast(p_partkey * 7919 as varchar), 12, '0')"
+CODES_SQL = f"""
+codes as (
+    select p_partkey, case p_partkey % 3 when 0 then 'EAN_13' when 1 then 'CODE_39' else 'CODE_128' end format,
+        case p_partkey % 3 when 0 then {EAN_SQL} || cast((10 - list_sum([cast({EAN_SQL}[i] as int) * (case when i % 2 = 0 then 3 else 1 end) for i in range(1, 13)]) % 10) % 10 as varchar) when 1 then upper(p_type) else p_name || '/' || p_brand end as text
+    from part
+)
+"""
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, format, text: what stands on a part's label, as a barcode of one of three formats."""
+    n = F.col("p_partkey")
+    twelve = F.lpad((n * 7919).cast("string"), 12, "0")
+    weighed = F.aggregate(F.transform(F.split(twelve, ""), lambda d, i: d.cast("int") * F.when(i % 2 == 1, 3).otherwise(1)), F.lit(0), lambda a, b: a + b)
+    ean = F.concat(twelve, ((10 - weighed % 10) % 10).cast("string"))
+    form = F.when(n % 3 == 0, "EAN_13").when(n % 3 == 1, "CODE_39").otherwise("CODE_128")
+    text = F.when(n % 3 == 0, ean).when(n % 3 == 1, F.upper("p_type")).otherwise(F.concat_ws("/", "p_name", "p_brand"))
+    return table(spark, sf_dir, "part").select(n.alias("image_id"), form.alias("format"), text.alias("text"))
+
+
+@query(f"with {CODES_SQL} select p_partkey image_id, text, format, 'BARCODE' source_type, true success from codes")
+def barcode_texts(spark, sf_dir):
+    """Draws each part's barcode, some turned or light on dark, and reads it again from the pixels."""
+    n = F.col("image_id")
+    images = drawn(coded(spark, sf_dir).select("*", (1 + n % 3).cast("int").alias("module"), (n % 5 == 1).alias("turned"), (n % 7 == 2).alias("inverted")))
+    return read_labels(images, LinearDecoder, kind="BARCODE").select("image_id", "text", "format", "source_type", "success")
+
+
+LABEL = P.Template(
+    name="part label",
+    mappings=(P.FieldMapping(0, "Code", None, True, 0.0, 0.0, 1.0, 1.0, True, "BARCODE"), P.FieldMapping(1, "Either", None, True, 0.0, 0.25, 1.0, 0.5, True, "AUTO"), P.FieldMapping(2, "Corner", None, True, 0.0, 0.0, 0.1, 0.2, True, "BARCODE"), P.FieldMapping(3, "Tiny", None, True, 0.0, 0.0, 0.001, 0.001, True, "BARCODE")),
+    dilation=1.0,
+)
+
+
+@query(f"""
+with {CODES_SQL}, f(field_index, metadata_key, whole) as (values (0, 'Code', true), (1, 'Either', true), (2, 'Corner', false))
+select p_partkey image_id, field_index, metadata_key, case when whole then text else '' end as text, case when whole then format end format from codes, f
+""")
+def barcode_regions(spark, sf_dir):
+    """The same through a template of positions: a whole label, a stripe of it read as what it is, a corner without a code."""
+    images = drawn(coded(spark, sf_dir).select("*", F.lit(2).alias("module"), F.lit(False).alias("turned"), F.lit(False).alias("inverted")))
+    return read_fields(images, LABEL, LinearDecoder).select("image_id", "field_index", "metadata_key", "text", "format")
