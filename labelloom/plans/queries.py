@@ -18,6 +18,7 @@ from labelloom.operators import blocks as B
 from labelloom.operators import fields as R
 from labelloom.operators import images as I
 from labelloom.operators import metadata as M
+from labelloom.operators import pixels as X
 from labelloom.operators import template as P
 from labelloom.operators import vocabulary as J
 from labelloom.operators.linear import LinearDecoder, drawn
@@ -842,3 +843,88 @@ def barcode_regions(spark, sf_dir):
     """The same through a template of positions: a whole label, a stripe of it read as what it is, a corner without a code."""
     images = drawn(coded(spark, sf_dir).select("*", F.lit(2).alias("module"), F.lit(False).alias("turned"), F.lit(False).alias("inverted")))
     return read_fields(images, LABEL, LinearDecoder).select("image_id", "field_index", "metadata_key", "text", "format")
+
+
+# ---------------------------------------------------------------- pixels as a table: I1, I2, I4, I6, I11, A13
+
+SIDE = 8
+VECTORS_SQL = """
+vectors as (select vec_id image_id, unnest(embedding) e, generate_subscripts(embedding, 1) - 1 i from embeddings),
+pixels as (select image_id, cast(i // 8 as int) y, cast(i % 8 as int) x, greatest(0, least(255, cast(floor((cast(e as double) + 1) * 127.5) as int))) as value from vectors),
+bins as (select image_id, value bin, count(*) n from pixels group by all),
+sums as (select *, sum(n) over (partition by image_id order by bin) below, sum(n) over (partition by image_id) total, sum(bin * n) over (partition by image_id order by bin) s, sum(bin * n) over (partition by image_id) st from bins)
+"""
+
+
+def rasters(spark: SparkSession, sf_dir: str, contrast: float = 127.5) -> DataFrame:
+    """PIXELS: a vector's 64 components as an image of 8 by 8."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e"))
+    value = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 1) * contrast).cast("int")))
+    return rows.select("image_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), value.alias("value"))
+
+
+@query(f"""
+with {VECTORS_SQL}, r as (select *, sum(value) over c s, count(*) over c n from pixels window c as (partition by image_id, y order by x range between 2 preceding and 2 following)),
+m as (select *, cast(floor(sum(s) over c / (n * count(*) over c)) as int) mean from r window c as (partition by image_id, x order by y range between 2 preceding and 2 following))
+select image_id, y, x, value, mean from m
+""")
+def pixel_window_means(spark, sf_dir):
+    return X.box_means(rasters(spark, sf_dir), F.lit(2)).select("image_id", "y", "x", "value", "mean")
+
+
+@query(f"""
+with {VECTORS_SQL}, r as (select *, sum(value) over c s, count(*) over c n from pixels window c as (partition by image_id, y order by x range between 7 preceding and 7 following)),
+m as (select *, cast(floor(sum(s) over c / (n * count(*) over c)) as int) mean from r window c as (partition by image_id, x order by y range between 7 preceding and 7 following))
+select image_id, y, x, case when value < mean - 10 then 0 else 255 end as value from m
+""")
+def pixel_adaptive_threshold(spark, sf_dir):
+    return X.adaptive_threshold(rasters(spark, sf_dir)).select("image_id", "y", "x", "value")
+
+
+@query(f"""
+with {VECTORS_SQL}, t as (select image_id, y, count(*) filter (value > 130) / 8.0::double >= 0.4 lit from pixels group by all),
+v as (select image_id, coalesce(min(y) filter (lit), 0) y0, coalesce(max(y) filter (lit), 7) y1 from t group by all),
+l as (select p.image_id, x, y0, y1, count(*) filter (value > 130) / cast(y1 - y0 + 1 as double) >= 0.4 lit from pixels p join v on p.image_id = v.image_id where y between y0 and y1 group by p.image_id, x, y0, y1),
+h as (select image_id, y0, y1, coalesce(min(x) filter (lit), 0) x0, coalesce(max(x) filter (lit), 7) x1 from l group by image_id, y0, y1),
+b as (select *, 1.0 - ((x1 - x0 + 1) * (y1 - y0 + 1)) / 64.0::double < 0.02 whole, least(x0 + 2, x1) a, least(y0 + 2, y1) b from h)
+select image_id, case when not whole then a end x, case when not whole then b end y, case when not whole then greatest(x1 - 2, a) - a + 1 end width, case when not whole then greatest(y1 - 2, b) - b + 1 end height from b
+""")
+def pixel_label_regions(spark, sf_dir):
+    return X.label_regions(rasters(spark, sf_dir), bright=130)
+
+
+OTSU_SQL = f"""{VECTORS_SQL}, parted as (
+    select *, cast(below as real) n1, cast(total - below as real) n2, cast(cast(s as real) / cast(below as real) - (cast(st as real) - cast(s as real)) / cast(total - below as real) as real) gap from sums where below < total
+), varied as (select image_id, bin, n1 * n2 * gap * gap v from parted),
+best as (select image_id, arg_max(bin, v order by v desc, bin) bin, max(v) v from varied group by all),
+limits as (select i.image_id, case when v > 0 then bin else 128 end threshold from (select distinct image_id from pixels) i left join best b on i.image_id = b.image_id)
+"""
+
+
+@query(f"with {OTSU_SQL} select p.image_id, threshold, count(*) filter (value < threshold) dark, count(*) pixels from pixels p join limits l on p.image_id = l.image_id group by all")
+def pixel_otsu(spark, sf_dir):
+    """Each image's threshold, and the pixels that it turns dark."""
+    pixels = rasters(spark, sf_dir)
+    dark = X.barcode_contrast(pixels).groupBy("image_id").agg(F.count_if(F.col("value") == 0).alias("dark"), F.count("*").alias("pixels"))
+    return X.thresholds(X.histogram(pixels)).join(dark, "image_id").select("image_id", "threshold", "dark", "pixels")
+
+
+@query(f"""
+with {VECTORS_SQL}, found as (select image_id, min(case when floor(total * 0.02) = 0 then 0 when below >= floor(total * 0.02) then bin end) lo, min(case when floor(total * 0.98) = 0 then 0 when below >= floor(total * 0.98) then bin end) hi from sums group by all),
+w as (select image_id, case when hi - lo < 10 then greatest(0, lo - 5) else lo end lo, case when hi - lo < 10 then least(255, hi + 5) else hi end hi from found)
+select p.image_id, y, x, case when lo = 0 and hi >= 255 then value else least(255, greatest(0, cast(trunc((value - lo) * (255.0::double / (case when hi > lo then hi - lo else 1 end))) as int))) end as value from pixels p join w on p.image_id = w.image_id
+""")
+def pixel_display(spark, sf_dir):
+    return X.for_display(rasters(spark, sf_dir)).select("image_id", "y", "x", "value")
+
+
+@query(f"""
+with {VECTORS_SQL}, narrow as (select image_id, y, x, 100 + value // 8 as value from pixels), nb as (select image_id, value bin, count(*) n from narrow group by all),
+ns as (select *, sum(n) over (partition by image_id order by bin) below, sum(n) over (partition by image_id) total from nb),
+found as (select image_id, min(case when floor(total * 0.005) = 0 then 0 when below >= floor(total * 0.005) then bin end) lo, min(case when floor(total * 0.995) = 0 then 0 when below >= floor(total * 0.995) then bin end) hi, min(bin) least_bin, max(bin) largest from ns group by all),
+w as (select image_id, largest - least_bin spread, case when hi - lo < 10 then least_bin else lo end lo, case when hi - lo < 10 then largest else hi end hi from found)
+select p.image_id, y, x, case when spread >= 50 then value else least(255, greatest(0, cast(trunc((value - lo) * (case when hi > lo then 255.0::double / (hi - lo) else 1.0 end)) as int))) end as value from narrow p join w on p.image_id = w.image_id
+""")
+def pixel_eight_bit(spark, sf_dir):
+    narrow = rasters(spark, sf_dir).withColumn("value", (100 + F.floor(F.col("value") / 8)).cast("int"))
+    return X.eight_bit(narrow).select("image_id", "y", "x", "value")
