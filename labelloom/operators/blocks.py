@@ -125,32 +125,96 @@ def combine_barcodes(barcodes: DataFrame, keys: Sequence[str] = ("image_id",)) -
     )
 
 
+def level_of(b: Column) -> Column:
+    """The power of two, as its exponent, that a box's longer side doesn't exceed."""
+    return F.ceil(F.log2(F.greatest(b["width"], b["height"], F.lit(1)).cast("double"))).cast("int")
+
+
+def cells(b: Column, level: Column) -> Column:
+    """Array of struct<cx, cy>: the cells of a level, with sides of 2 ** level, that a box reaches; its edges count."""
+    side = F.pow(F.lit(2), level)
+    span = lambda at, size: F.sequence(F.floor(at / side), F.floor((at + F.greatest(size, F.lit(0))) / side))
+    return F.flatten(F.transform(span(b["x"], b["width"]), lambda cx: F.transform(span(b["y"], b["height"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+
 def overlapping_pairs(blocks: DataFrame) -> DataFrame:
-    """image_id, i, j, overlap, same_place: pairs i < j of one image whose boxes intersect."""
-    a, b = blocks.alias("a"), blocks.alias("b")
-    x, y = F.col("a.box"), F.col("b.box")
-    pairs = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.block_idx") < F.col("b.block_idx")) & G.intersects(x, y))
-    return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.block_idx").alias("i"), F.col("b.block_idx").alias("j"), G.overlap_area(x, y).alias("overlap"), G.same_place(x, y).alias("same_place"))
+    """image_id, i, j, overlap, same_place: pairs i < j of one image whose boxes intersect.
+
+    Boxes stand in a grid as coarse as their own longer side, in four cells at most, and look into those of every coarser
+    grid that their image uses. Those that meet in a cell are compared, and a pair is kept in one cell alone: that of the
+    corner where its overlap begins. So the work follows the boxes that are near each other, not all pairs of an image.
+    """
+    known = blocks.where("box is not null").select("image_id", "block_idx", "box", level_of(F.col("box")).alias("level"))
+    levels = known.groupBy("image_id").agg(F.collect_set("level").alias("levels"))
+    own = known.select("image_id", "block_idx", "box", "level", F.inline(cells(F.col("box"), F.col("level"))))
+    probes = known.join(levels, "image_id").select("image_id", "block_idx", "box", F.col("level").alias("own"), F.explode(F.filter("levels", lambda x: x >= F.col("level"))).alias("level"))
+    probes = probes.select("image_id", "block_idx", "box", "own", "level", F.inline(cells(F.col("box"), F.col("level"))))
+    a, b = probes.alias("a"), own.alias("b")
+    x, y, side = F.col("a.box"), F.col("b.box"), F.pow(F.lit(2), F.col("a.level"))
+    where = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("image_id", "level", "cx", "cy")]
+    once = (F.col("a.own") < F.col("a.level")) | (F.col("a.block_idx") < F.col("b.block_idx"))
+    owner = (F.floor(F.greatest(x["x"], y["x"]) / side) == F.col("a.cx")) & (F.floor(F.greatest(x["y"], y["y"]) / side) == F.col("a.cy"))
+    pairs = a.join(b, where[0] & where[1] & where[2] & where[3] & once & owner & G.intersects(x, y))
+    i, j = F.col("a.block_idx"), F.col("b.block_idx")
+    return pairs.where(i != j).select(F.col("a.image_id").alias("image_id"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), G.overlap_area(x, y).alias("overlap"), G.same_place(x, y).alias("same_place"))
 
 
 def on_each_other(boxes: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """G6 for all pairs of boxes: do they share over half of the smaller one?"""
+    """G6 for all pairs of a few boxes: do they share over half of the smaller one?"""
     x, y, w, h = np.array(boxes, np.float64).reshape(-1, 4).T[:, :, None]
     shared = lambda at, size: np.minimum(at + size, (at + size).T) - np.maximum(at, at.T)
     across, down, smaller = shared(x, w), shared(y, h), np.minimum(w * h, (w * h).T)
     return (across > 0) & (down > 0) & (smaller > 0) & (across * down > 0.5 * smaller)
 
 
+#: Boxes of an image whose pairs are all compared; of more, those that share a cell of a grid.
+FEW = 256
+
+
+def later_ones(boxes: list[tuple[int, int, int, int]], few: int = FEW) -> list[np.ndarray]:
+    """For each box, the places of the later ones that lie on it (G6), ascending."""
+    n = len(boxes)
+    if n <= few:
+        same = on_each_other(boxes)
+        return [np.flatnonzero(same[i, i + 1 :]) + i + 1 for i in range(n)]
+    x, y, w, h = np.array(boxes, np.float64).reshape(-1, 4).T
+    level = np.ceil(np.log2(np.maximum(np.maximum(w, h), 1))).astype(int)
+    used = sorted(set(level.tolist()))
+
+    def reached(i: int, k: int) -> list[tuple[int, int, int]]:
+        side = 2.0**k
+        return [(k, cx, cy) for cx in range(int(x[i] // side), int((x[i] + max(w[i], 0)) // side) + 1) for cy in range(int(y[i] // side), int((y[i] + max(h[i], 0)) // side) + 1)]
+
+    grid: dict[tuple[int, int, int], list[int]] = {}
+    for i in range(n):
+        for cell in reached(i, level[i]):
+            grid.setdefault(cell, []).append(i)
+    out: list[set[int]] = [set() for _ in range(n)]
+    for i in range(n):
+        met = {j for k in used if k >= level[i] for cell in reached(i, k) for j in grid.get(cell, ()) if j != i and (k > level[i] or j > i)}
+        if not met:
+            continue
+        js = np.fromiter(met, np.int64, len(met))
+        across = np.minimum(x[i] + w[i], x[js] + w[js]) - np.maximum(x[i], x[js])
+        down = np.minimum(y[i] + h[i], y[js] + h[js]) - np.maximum(y[i], y[js])
+        smaller = np.minimum(w[i] * h[i], w[js] * h[js])
+        for j in js[(across > 0) & (down > 0) & (smaller > 0) & (across * down > 0.5 * smaller)].tolist():
+            out[min(i, j)].add(max(i, j))
+    return [np.array(sorted(s), np.int64) for s in out]
+
+
 def dedupe_order(boxes: list[tuple[int, int, int, int]], confidences: list[float]) -> list[int]:
     """For each kept place, in order, the index of the block that is kept there. A place takes in the free blocks after
     its holder that lie on it, up to the first more confident one, which holds the place from there on."""
-    same, sure, free = on_each_other(boxes), np.asarray(confidences, np.float64), np.ones(len(boxes), bool)
+    after, sure, free = later_ones(boxes), np.asarray(confidences, np.float64), np.ones(len(boxes), bool)
     kept = []
-    while free.any():
-        holder = int(free.argmax())
+    for first in range(len(boxes)):
+        if not free[first]:
+            continue
+        holder = first
         free[holder] = False
         while True:
-            later = np.flatnonzero(free[holder:] & same[holder, holder:]) + holder
+            later = after[holder][free[after[holder]]]
             surer = later[sure[later] > sure[holder]]
             free[later[later <= surer[0]] if len(surer) else later] = False
             if not len(surer):

@@ -22,6 +22,7 @@ from labelloom.operators import pixels as X
 from labelloom.operators import template as P
 from labelloom.operators import vocabulary as J
 from labelloom.operators.linear import LinearDecoder, drawn
+from labelloom.operators.numbering import numbered
 from labelloom.plans.pipeline import read_fields, read_labels
 from labelloom.sources import images as S
 from labelloom.sources import vocabulary as VS
@@ -78,7 +79,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct()
-    return names.select((F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("vocab_idx"), "value")
+    return numbered(names, ["value"], "vocab_idx", 0).select("vocab_idx", "value")
 
 
 def misread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +437,8 @@ def centroid_carryover(spark, sf_dir):
 
 @query("select p_partkey, p_brand, row_number() over (order by cast(regexp_replace(p_brand, '\\D+', '', 'g') as int), p_partkey) rank from part")
 def key_numeric_sort(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.row_number().over(Window.orderBy(T.numeric_key(F.col("p_brand")), "p_partkey")).cast("long").alias("rank"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", T.numeric_key(F.col("p_brand")).alias("number"))
+    return numbered(rows, ["number", "p_partkey"], "rank").drop("number")
 
 
 # ---------------------------------------------------------------- vocabulary: J1-J3, D1-D8, O1-O3, A8, S8-S11

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import control_trim
+from labelloom.operators.numbering import numbered
 
 #: Words that tell a header line.
 HEADER_WORDS = ("sample", "name", "id", "code", "label", "value", "specimen", "patient", "slide", "case", "date")
@@ -32,17 +33,35 @@ def first_column(line: Column, extension: str) -> Column:
     return {"csv": csv_first, "tsv": tab_first, "txt": tab_first}.get(extension.lower().lstrip("."), lambda x: x)(line)
 
 
-def vocabulary_of_lines(lines: DataFrame, extension: str) -> DataFrame:
-    """lines: line_no, line. A vocabulary is small, and its order is one: it is numbered in one task."""
+def values_of_lines(lines: DataFrame, value: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, line_no, value: the values of each file's lines that are neither blank nor a header. A header is a file's first
+    line that isn't blank. lines: keys, line_no, line."""
     kept = lines.withColumn("line", control_trim(F.col("line"))).where("line <> ''")
-    kept = kept.withColumn("n", F.row_number().over(Window.orderBy("line_no")))
-    kept = kept.where(~((F.col("n") == 1) & looks_like_header(F.col("line"))))
-    values = kept.withColumn("value", first_column(F.col("line"), extension)).where("value <> ''")
-    return values.select((F.row_number().over(Window.orderBy("n")) - 1).cast("long").alias("vocab_idx"), "value")
+    head = kept.groupBy(*keys).agg(F.min_by(F.struct("line_no", "line"), "line_no").alias("head"))
+    head = head.where(looks_like_header(F.col("head.line"))).select(*keys, F.col("head.line_no").alias("line_no"))
+    return kept.join(head, [*keys, "line_no"], "left_anti").withColumn("value", value).where("value <> ''").select(*keys, "line_no", "value")
+
+
+def vocabulary_of_lines(lines: DataFrame, extension: str) -> DataFrame:
+    """vocab_idx, value. lines: line_no, line, of one file, numbered in their order over all tasks."""
+    return numbered(values_of_lines(lines, first_column(F.col("line"), extension)), ["line_no"], "vocab_idx", 0).select("vocab_idx", "value")
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, line of a file or of all files below a folder; a line ends at a line feed, a carriage return or both."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return whole.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """A .csv, .tsv, .txt or other file in UTF-8, by Spark's reader, so wherever Spark reads."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-    return vocabulary_of_lines(lines, path.rpartition(".")[2] if "." in path.rpartition("/")[2] else "")
+    return vocabulary_of_lines(lines_of(spark, path).drop("file"), path.rpartition(".")[2] if "." in path.rpartition("/")[2] else "")
+
+
+def read_vocabularies(spark: SparkSession, path: str) -> DataFrame:
+    """S8 over many files: file, vocab_idx, value: each file below path is a vocabulary of its own, read by its extension."""
+    ending = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
+    line = F.col("line")
+    value = F.when(ending == "csv", csv_first(line)).when(ending.isin("tsv", "txt"), tab_first(line)).otherwise(line)
+    values = values_of_lines(lines_of(spark, path), value, ("file",))
+    return values.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).cast("long").alias("vocab_idx"), "value")
