@@ -23,6 +23,7 @@ from labelloom.operators import template as P
 from labelloom.operators import vocabulary as J
 from labelloom.operators.linear import LinearDecoder, drawn
 from labelloom.operators.numbering import numbered
+from labelloom.operators.store import MetadataTable, shared_folder
 from labelloom.plans.pipeline import read_fields, read_labels
 from labelloom.sources import images as S
 from labelloom.sources import vocabulary as VS
@@ -930,3 +931,23 @@ select p.image_id, y, x, case when spread >= 50 then value else least(255, great
 def pixel_eight_bit(spark, sf_dir):
     narrow = rasters(spark, sf_dir).withColumn("value", (100 + F.floor(F.col("value") / 8)).cast("int"))
     return X.eight_bit(narrow).select("image_id", "y", "x", "value")
+
+
+# ---------------------------------------------------------------- metadata as a table: K2, K9, K15
+
+
+@query(f"""
+with {ENTRIES_SQL}, one as (select * from entries where not (k in ('OCR_click', 'CaseID') and image_id % 2 = 0) union all select image_id, n.k, n.v from (select distinct image_id from entries where image_id % 2 = 0), (values ('OCR_click', 'new'), ('CaseID', '')) n(k, v)),
+two as (select * from one where not (k = 'CaseID' and image_id % 3 = 0) union all select distinct image_id, 'CaseID', 'C-' || image_id from entries where image_id % 3 = 0)
+select image_id, k as key, v as value from two union all select -1 - image_id, 'OCR_added', 'yes' from (select distinct image_id from entries where image_id % 5 = 0)
+""")
+def metadata_table(spark, sf_dir):
+    """A table of all entries, three batches merged into it, one of them twice."""
+    rows = entries(spark, sf_dir)
+    store = MetadataTable.create(spark, shared_folder(spark), rows)
+    first = rows.where("image_id % 2 = 0").select("image_id", new_map().alias("metadata"))
+    store.merge(first, "first")
+    store.merge(rows.where("image_id % 3 = 0").select("image_id", F.create_map(F.lit("CaseID"), F.concat(F.lit("C-"), "image_id")).alias("metadata")), "second")
+    store.merge(first, "first")
+    store.merge(rows.where("image_id % 5 = 0").select((-1 - F.col("image_id")).alias("image_id"), F.create_map(F.lit("OCR_added"), F.lit("yes")).alias("metadata")), "third")
+    return M.long_form(store.read())
