@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sampled keys for each range.
+#: Sampled keys for each range, and rows for which another range is worth its while.
 SAMPLED = 20
+RANGE_ROWS = 100_000
 
 
 def range_of(keys: Sequence[str], bounds: list[tuple], df: DataFrame) -> Column:
@@ -31,15 +32,15 @@ def range_of(keys: Sequence[str], bounds: list[tuple], df: DataFrame) -> Column:
 def numbered(rows: DataFrame, keys: Sequence[str], name: str, start: int = 1, ranges: int | None = None) -> DataFrame:
     """rows with a column `name`: their place in the ascending order of keys (columns of numbers, strings or dates), from start
     on. An empty table gives an empty one."""
-    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     only = rows.select(*keys)
     count = only.count()
+    n = ranges or min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS))
     share = min(1.0, SAMPLED * n / max(1, count))
     some = [tuple(r) for r in (only if share == 1.0 else only.sample(False, share, 7)).orderBy(*keys).limit(4 * SAMPLED * n).collect()] if n > 1 and count else []
     bounds = list(dict.fromkeys(some[i * len(some) // n] for i in range(1, n))) if some else []
     part, rank, before = (f"_{name}_{x}" for x in ("range", "rank", "before"))
     placed = rows.withColumn(part, range_of(keys, bounds, rows))
-    held = {r[part]: r["count"] for r in placed.groupBy(part).count().collect()}  # a row for each range
+    held = {r[part]: r["count"] for r in placed.groupBy(part).count().collect()} if bounds else {0: count}  # a row for each range
     starts = [(k, start - 1 + sum(v for j, v in held.items() if j < k)) for k in sorted(held)]
     offsets = rows.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
     ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*keys)))
