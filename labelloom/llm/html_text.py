@@ -1,13 +1,18 @@
 """Main text of web pages, by the substrings that the pages of a host share.
 
 A page is read once, tolerantly, into blocks (runs of text between block-level tags). Blocks inside an article or main
-element, and in none of its menus, forms, notices, adverts or comments, are its main text; on a page that marks one, the
-marks decide. The tokens of all other blocks make the page's token stream, and the streams of a host's pages are taken
-together: substrings of at least LONG tokens that occur on distinct pages of the host are the intervals of its suffix
+element, and in none of its menus, forms, notices, adverts or comments, are its main text. The tokens of all other blocks
+make the page's token stream, and the streams of a host's pages are taken together: substrings of at least LONG tokens that occur on distinct pages of the host are the intervals of its suffix
 array whose longest common prefix is LONG or more. What they cover is what windows of LONG tokens that occur on
 distinct pages cover, so suffixes are grouped on their first LONG tokens, which needs no host in one place: counts merge
-before the shuffle. On a page that marks no article, a block that such substrings cover is boilerplate and goes; of the
-blocks that remain unique, those whose element or class says what they are (menu, advert, footer ...) go too.
+before the shuffle. A block that such substrings cover is boilerplate and goes; this decides
+
+- on a page that marks no article, for all blocks, of which those whose element or whole class name says what they are
+  (menu, advert, footer ...) go too;
+- inside an article, for blocks in an element whose class only begins or ends like one of a frame (share-price,
+  related-work): they stay unless covered;
+- on a page that marks an article, for plain text outside it: where what isn't covered is longer than the marked text, the
+  marks are a teaser's, and both are kept. Otherwise the marks decide, and plain text outside them goes.
 
 Copies of an article are articles: pages whose most telling blocks (many tokens, on few pages of the host) are equal
 count as one page, and a repeat inside a marked article is never dropped. An article is never dropped for its own class
@@ -21,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 from html import unescape
 
@@ -38,13 +44,15 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE_TAGS = frozenset("br td th wbr img".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object canvas title".split())
+RAW_TAGS = frozenset("script style noscript template textarea iframe svg annotation annotation-xml object canvas title".split())
 MAIN_TAGS = frozenset(("article", "main"))
 FRAME_TAGS = frozenset("head nav header footer aside form button select label fieldset dialog menu option audio video".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 FRAME_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted reply replies respond related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Parts that say nothing of their own beside a frame's name: share-buttons, related-posts.
+NEUTRAL_NAMES = frozenset("area bar block box button buttons container content form icons inner item items link links list main page post posts section site the top bottom left right text title wrap wrapper".split())
 #: Names of frames that an article may have for its own title.
 OWN_NAMES = frozenset(("header", "banner", "masthead"))
 NOT_NAMES = frozenset("has no with without is".split())
@@ -61,10 +69,25 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def names_in(value: str) -> set[str]:
-    """The first and the last part of each class or id: these tell what it names."""
-    parts = [re.split(r"[^a-z]+", name) for name in value.lower().split()]
-    return {p for x in parts if x[0] not in NOT_NAMES for p in (x[0], x[-1])}
+def names_in(value: str) -> tuple[set[str], bool]:
+    """Frames that a class or id names as a whole: all its parts are names of frames, or neutral beside one at its start or
+    end. And whether one only begins or ends with such a name."""
+    whole: set[str] = set()
+    partly = False
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not parts or parts[0] in NOT_NAMES:
+            continue
+        said = FRAME_NAMES.intersection((parts[0], parts[-1]))
+        if said and all(x in FRAME_NAMES or x in NEUTRAL_NAMES for x in parts):
+            whole |= said
+        elif said:
+            partly = True
+    return whole, partly
+
+
+#: Places inside an article.
+MARKED = ("main", "doubt")
 
 
 class Block:
@@ -75,11 +98,14 @@ class Block:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order; place: main, frame (an element or class says so), layout (a frame that an article inside
-    isn't part of: a form, or a class name of the page's layout) or open."""
+    """Blocks in page order; place: main, doubt (in main, under a class that begins or ends like a frame's), frame (an
+    element or class says so), layout (a frame that an article inside isn't part of: a form, or a class name of the page's
+    layout) or open. Linear in the page: tags are looked for among open elements only where one is open."""
     out: list[Block] = []
     pieces: list[str] = []
     stack: list[tuple[str, str, bool]] = []  # tag, place, inside a main element
+    levels: list[int] = []  # places in the stack of block elements
+    held: Counter[str] = Counter()  # open elements by tag
     place, inside = "open", False
 
     def close() -> None:
@@ -89,6 +115,15 @@ def blocks_of(html: str) -> list[Block]:
                 out.append(Block("frame" if place == "layout" else place, text))
             pieces.clear()
 
+    def leave(i: int) -> tuple[str, bool]:
+        """Ends the open elements from the i-th on; gives place and inside as before it."""
+        before = stack[i][1:]
+        held.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+        while levels and levels[-1] >= i:
+            levels.pop()
+        return before
+
     def put(text: str) -> None:
         if text:
             pieces.append(unescape(text) if "&" in text else text)
@@ -109,13 +144,11 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             close()
         if found[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if stack[i][1:] != (place, inside):
-                        close()
-                    _, place, inside = stack[i]
-                    del stack[i:]
-                    break
+            if held[tag]:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if stack[i][1:] != (place, inside):
+                    close()
+                place, inside = leave(i)
             continue
         said = found[3]
         if tag in RAW_TAGS:
@@ -127,17 +160,18 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             ends = ENDS.get(tag, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(levels):
                 if stack[i][0] in ends:
-                    _, place, inside = stack[i]
-                    del stack[i:]
+                    place, inside = leave(i)
                     break
-                if stack[i][0] in BLOCK_TAGS and stack[i][0] not in ENDED:
+                if stack[i][0] not in ENDED:
                     break
+            levels.append(len(stack))
         stack.append((tag, place, inside))
+        held[tag] += 1
         new_place, new_inside = place, inside
         given = {k.lower(): a or b or c for k, a, b, c in (ATTRIBUTE.findall(said) if said else ())}
-        said_names = names_in(f"{given.get('class', '')} {given.get('id', '')}") if given and tag not in ("body", "html") else set()
+        said_names, partly = names_in(f"{given.get('class', '')} {given.get('id', '')}") if given and tag not in ("body", "html") else (set(), False)
         role = given.get("role", "").lower()
         if tag in MAIN_TAGS or role == "main" or given.get("itemprop") == "articleBody":
             new_inside = True
@@ -145,7 +179,7 @@ def blocks_of(html: str) -> list[Block]:
                 new_place = "frame"
             elif place in ("open", "layout") and not (tag == "article" and OTHERS_ARTICLES & {*given.get("class", "").lower().split()}):
                 new_place = "main"
-            elif place != "main":
+            elif place not in ("main", "doubt"):
                 new_place = "frame"
         elif tag in FRAME_TAGS and tag != "form" and not (inside and tag == "header") or role in FRAME_ROLES and role != "form":
             new_place = "frame"
@@ -153,6 +187,8 @@ def blocks_of(html: str) -> list[Block]:
             new_place = "frame"
         elif tag == "form" or role == "form" or said_names & FRAME_NAMES - (OWN_NAMES if inside else frozenset()):
             new_place = "layout" if place in ("open", "layout") else "frame"
+        elif partly and place == "main":
+            new_place = "doubt"
         if "hidden" in given or given.get("aria-hidden") == "true":
             new_place = "frame"
         if (new_place, new_inside) != (place, inside):
@@ -171,14 +207,20 @@ def stream_of(blocks: list[Block]) -> list[str]:
     return [t for b in blocks if b.place != "main" for t in tokens(b.text)]
 
 
-def candidates(blocks: list[Block]) -> list[tuple[str, int, str | None]]:
-    """What is left to decide of each block: place, tokens, and its text, if it may be kept at all."""
-    marked = is_marked(blocks)
-    return [(b.place, len(tokens(b.text)), b.text if b.place == "main" or not marked and b.place == "open" else None) for b in blocks]
+def is_marked(blocks: list[Block]) -> bool:
+    return any(b.place in MARKED for b in blocks)
 
 
-def is_marked(blocks: list[Block]) -> bool:
-    return any(b.place == "main" for b in blocks)
+def is_led(blocks: list[Block]) -> bool:
+    """Is the marked text of the page at least as long as its plain text outside?"""
+    size = lambda *places: sum(len(tokens(b.text)) for b in blocks if b.place in places)
+    return is_marked(blocks) and size(*MARKED) >= size("open")
+
+
+def candidates(blocks: list[Block]) -> list[tuple[str, int, str | None]]:
+    """What is left to decide of each block: place, tokens, and its text, if it may be kept at all."""
+    led = is_led(blocks)
+    return [(b.place, len(tokens(b.text)), b.text if b.place in MARKED or not led and b.place == "open" else None) for b in blocks]
 
 
 def kept_text(rows: list[tuple[str, int, str | None]], repeated: list[int], long: int = LONG) -> str:
@@ -186,14 +228,15 @@ def kept_text(rows: list[tuple[str, int, str | None]], repeated: list[int], long
     covered: set[int] = {p + k for p in repeated for k in range(long)}
     kept, at = [], 0
     for place, n, text in rows:
-        if place == "main":
-            kept.append(text)
-            continue
-        shared = sum(i in covered for i in range(at, at + n)) if covered else 0
-        at += n
-        if shared < COVERED * n and text is not None:
-            kept.append(text)
-    return "\n\n".join(kept)
+        shared = 0
+        if place != "main":
+            shared = sum(i in covered for i in range(at, at + n)) if covered else 0
+            at += n
+        if text is not None and (place == "main" or shared < COVERED * n):
+            kept.append((place, n, text))
+    inside = sum(n for place, n, _ in kept if place in MARKED)
+    outside = sum(n for place, n, _ in kept if place == "open")
+    return "\n\n".join(text for place, _, text in kept if place in MARKED or outside > inside)
 
 
 def main_text(blocks: list[Block], repeated: list[int], long: int = LONG) -> str:
@@ -207,13 +250,13 @@ def keyed(pages: DataFrame) -> DataFrame:
     return few.select(F.xxhash64("page_id", "url", "html").alias("page"), host.alias("host"), "page_id", "url", "html")
 
 
-PARSED = "page long, host string, page_id long, url string, marked boolean, article long, rows binary, blocks array<struct<block:long,n:int>>, heads array<long>"
+PARSED = "page long, host string, page_id long, url string, led boolean, settled boolean, article long, rows binary, blocks array<struct<block:long,n:int>>, heads array<long>"
 
 
 def parsed_pages(pages: DataFrame, long: int = LONG) -> DataFrame:
-    """A row for each page: marked (an article, of the hash `article`), rows (what may be kept, compressed: Spark's own
-    codec finds little to save in prose), blocks (of open text on pages that mark none) and heads (of the host's name and
-    the first `long` tokens of each suffix of the page's stream)."""
+    """A row for each page: led (by an article, of the hash `article`), settled (no other page decides anything), rows (what
+    may be kept, compressed: Spark's own codec finds little to save in prose), blocks (of what may be kept of pages that
+    aren't led) and heads (of the host's name and the first `long` tokens of each suffix of the page's stream)."""
     kinds = pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32())]))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -222,17 +265,18 @@ def parsed_pages(pages: DataFrame, long: int = LONG) -> DataFrame:
         signed = lambda x: (h := xxh64_intdigest(x.encode("utf-8", "surrogatepass"))) - (h >> 63 << 64)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for host, html in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
                 blocks = blocks_of(html)
-                marked, stream = is_marked(blocks), stream_of(blocks)
-                out[0].append(marked)
-                out[1].append(signed("\n".join(b.text for b in blocks if b.place == "main")))
-                out[2].append(zlib.compress(json.dumps(candidates(blocks), ensure_ascii=False).encode("utf-8", "surrogatepass"), 4))
-                out[3].append([] if marked else [{"block": signed(b.text), "n": len(tokens(b.text))} for b in blocks if b.place == "open"])
-                out[4].append([signed("\n".join([host, *stream[i : i + long]])) for i in range(len(stream) - long + 1)])
-            columns = [pa.array(x, kind) for x, kind in zip(out, (pa.bool_(), pa.int64(), pa.binary(), kinds, pa.list_(pa.int64())))]
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *columns], names=["page", "host", "page_id", "url", "marked", "article", "rows", "blocks", "heads"])
+                led, rows, stream = is_led(blocks), candidates(blocks), stream_of(blocks)
+                out[0].append(led)
+                out[1].append(led and all(place == "main" or text is None for place, _, text in rows))
+                out[2].append(signed("\n".join(b.text for b in blocks if b.place in MARKED)))
+                out[3].append(zlib.compress(json.dumps(rows, ensure_ascii=False).encode("utf-8", "surrogatepass"), 4))
+                out[4].append([] if led else [{"block": signed(text), "n": n} for _, n, text in rows if text is not None])
+                out[5].append([signed("\n".join([host, *stream[i : i + long]])) for i in range(len(stream) - long + 1)])
+            columns = [pa.array(x, kind) for x, kind in zip(out, (pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), kinds, pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *columns], names=["page", "host", "page_id", "url", "led", "settled", "article", "rows", "blocks", "heads"])
 
         return one
 
@@ -240,23 +284,23 @@ def parsed_pages(pages: DataFrame, long: int = LONG) -> DataFrame:
 
 
 def repeated_places(parsed: DataFrame) -> DataFrame:
-    """page, repeated: for pages that mark no article, the sorted places of their streams where a substring begins that a
-    distinct page of the host has."""
-    open_pages = parsed.where("not marked")
-    streams = parsed.join(open_pages.select("host").distinct(), "host", "left_semi")
+    """page, repeated: for pages that aren't settled, the sorted places of their streams where a substring begins that a
+    distinct page of the host has. Pages with one article, or one most telling block, aren't distinct."""
+    streams = parsed.join(parsed.where("not settled").select("host").distinct(), "host", "left_semi")
+    open_pages = parsed.where("not led")
     blocks = open_pages.select("page", "host", F.explode("blocks").alias("x")).select("page", "host", "x.block", "x.n").distinct()
     of_host = open_pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("of"))
     on_pages = checkpoint(blocks.groupBy("host", "block").agg(F.count("*").alias("pages")).join(of_host, "host"))
     weight = F.round(F.col("n") * F.log(F.col("of") / F.col("pages")), 6).alias("weight")
     telling = blocks.join(on_pages, ["host", "block"]).groupBy("page").agg(F.max(F.struct(weight, "block")).alias("x")).select("page", F.col("x.block").alias("telling"))
-    found = streams.join(telling, "page", "left").select("page", "marked", F.coalesce("telling", "article").alias("kind"), F.posexplode("heads").alias("at", "head"))
+    found = streams.join(telling, "page", "left").select("page", "settled", F.coalesce("telling", "article").alias("kind"), F.posexplode("heads").alias("at", "head"))
     # Written out, so that the join shuffles it plainly and a frequent head's rows can be split over tasks.
     shared = checkpoint(found.groupBy("head").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b").select("head"))
-    return found.where("not marked").select("page", "at", "head").join(shared, "head").groupBy("page").agg(F.array_sort(F.collect_set("at")).alias("repeated"))
+    return found.where("not settled").select("page", "at", "head").join(shared, "head").groupBy("page").agg(F.array_sort(F.collect_set("at")).alias("repeated"))
 
 
 def extract_text(pages: DataFrame, long: int = LONG) -> DataFrame:
-    """page_id, url, text, n_chars. Pages are parsed once; those that mark their article need no other page."""
+    """page_id, url, text, n_chars. Pages are parsed once; those that are settled need no other page."""
 
     def keep() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -267,9 +311,9 @@ def extract_text(pages: DataFrame, long: int = LONG) -> DataFrame:
         return one
 
     parsed = checkpoint(parsed_pages(pages, long))
-    marked = parsed.where("marked").select("page_id", "url", "rows", F.lit(None).cast("array<int>").alias("repeated"))
-    others = parsed.where("not marked").join(repeated_places(parsed), "page", "left").select("page_id", "url", "rows", "repeated")
-    return map_batches(marked.unionByName(others), keep, "page_id long, url string, text string, n_chars long")
+    settled = parsed.where("settled").select("page_id", "url", "rows", F.lit(None).cast("array<int>").alias("repeated"))
+    others = parsed.where("not settled").join(repeated_places(parsed), "page", "left").select("page_id", "url", "rows", "repeated")
+    return map_batches(settled.unionByName(others), keep, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

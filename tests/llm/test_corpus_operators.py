@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -511,6 +512,34 @@ def test_main_elements_and_names():
     assert text("<article><p>The text.</p><article class=comment>a reader</article><div class='related'><article>teaser</article></div></article>") == "The text."
 
 
+def test_class_names_only_cast_doubt(spark):
+    text = lambda body: html_text.main_text(html_text.blocks_of(page(body)), [])
+    for name in ("share-price", "social-history", "widget-description"):
+        assert text(f"<article><p>The text.</p><p class={name}>More.</p></article>") == "The text.\n\nMore.", name
+    for name in ("search-algorithms", "related-work"):
+        assert text(f"<article><p>The text.</p><section id={name}><p>More.</p><div class=share-buttons>Share</div></section></article>") == "The text.\n\nMore.", name
+    for name in ("share", "share-buttons", "related-posts", "cookie-notice", "comments"):
+        assert text(f"<article><p>The text.</p><div class={name}>No.</div></article>") == "The text.", name
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</article>") == "Let x=2 be."
+    body = "A plain body of many words that no element marks, as old pages have it."
+    assert text(f"<article>A teaser.</article><div>{body}</div><nav>menu</nav>") == f"A teaser.\n\n{body}"
+    assert text("<article><p>The longer text is the article here.</p></article><div>Short.</div>") == "The longer text is the article here."
+    # What pages of the host share decides: in doubt inside an article, and of plain text beside a teaser.
+    ask = "Tell all of your friends about this site"
+    rows = [(i, "http://a.b/", page(f"<article><p>Text {i} of {i} page {i}.</p><p class=share-story>{ask}</p><p class=share-price>It rose by {i} points on day {i}.</p></article>")) for i in range(3)]
+    rows += [(10 + i, "http://c.d/", page(f"<article>Our best story</article><div>Welcome to the site that has all the stories</div><div>Body {i} has {i} words {i} or {i} more than {i} it {i}</div>")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [f"Text {i} of {i} page {i}.\n\nIt rose by {i} points on day {i}." for i in range(3)]
+    assert [got[10 + i] for i in range(3)] == [f"Our best story\n\nBody {i} has {i} words {i} or {i} more than {i} it {i}" for i in range(3)]
+
+
+def test_long_pages_take_linear_time():
+    for body in ("<b>" * 100_000 + "x" + "</i>" * 100_000, "<p><div>" + "<b>" * 50_000 + "<div>y</div>" * 50_000, "<b>" * 50_000 + "<dt>a<li>b" * 50_000):
+        began = time.process_time()
+        assert html_text.blocks_of(f"<article>{body}</article>")
+        assert time.process_time() - began < 5
+
+
 def test_repeats_are_suffix_intervals(spark):
     """The places that are found are those of a suffix array with common prefixes, per host."""
     r = random.Random(12)
