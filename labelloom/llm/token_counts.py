@@ -3,7 +3,8 @@
 Distinct pre-tokens (runs of no white space, each led by the word mark) are inserted into a trie that a worker keeps over
 its batches. A node holds the forward score (the best score of any segmentation of its prefix) and that segmentation's
 number of tokens; both are found once, when the node is made, from those of its ancestors. The count at a pre-token's
-end is kept beside. A piece's score is -log(rank + 1) over the vocabulary's ranks: a stand-in for a unigram table, which
+end is kept beside. Prefixes of more than SHARED characters get no node: a longer pre-token's scores go on from the node of
+its first SHARED characters, of which only the last ones that a piece can reach back to are kept. A piece's score is -log(rank + 1) over the vocabulary's ranks: a stand-in for a unigram table, which
 the vocabulary, a BPE one, doesn't have. A character outside the vocabulary falls back to its UTF-8 bytes. Of equal
 scores the one with the longer last piece counts.
 
@@ -14,7 +15,8 @@ text are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections import deque
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ VOCABULARY = "piece_bpe_32k.model"
 CACHE = 400_000
 #: Nodes beyond which a trie is begun anew; what it has counted stays.
 NODES = 500_000
+#: Characters of a pre-token that the trie holds.
+SHARED = 1_000
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -50,37 +54,44 @@ class Trie:
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
-        self.best, self.n = [0.0], [0]
+        self.states = [(0.0, 0)]  # of each node: best score, number of tokens
 
     def insert(self, text: str) -> int:
         """The number of tokens at the end of text."""
-        child, path = self.child, [0]
-        for end, c in enumerate(text, 1):
-            key = path[-1], c
-            node = child.get(key)
-            if node is None:
-                node = child[key] = self.score(text, end, path)
-            path.append(node)
-        return self.n[path[-1]]
-
-    def score(self, text: str, end: int, path: list[int]) -> int:
-        """A new node for text[:end]; path: the nodes of all shorter prefixes."""
-        best, pieces, top, n = self.best, self.pieces, -math.inf, 0
+        child, states, node = self.child, self.states, 0
+        path = [states[0]]
+        for end, c in enumerate(text[:SHARED], 1):
+            key = node, c
+            found = child.get(key)
+            if found is None:
+                found = child[key] = len(states)
+                states.append(self.score(text, end, path))
+            node = found
+            path.append(states[node])
+        if len(text) > SHARED:
+            recent = deque(path, maxlen=self.longest)
+            for end in range(SHARED + 1, len(text) + 1):
+                recent.append(self.score(text, end, recent))
+            path = recent
+        return path[-1][1]
+
+    def score(self, text: str, end: int, before: Sequence[tuple[float, int]]) -> tuple[float, int]:
+        """The state of text[:end]; before: those of the prefixes up to end - 1, of the last ones at least."""
+        pieces, top, n, first = self.pieces, -math.inf, 0, end - len(before)
         for start in range(max(0, end - self.longest), end):
             score = pieces.get(text[start:end])
-            if score is not None and best[path[start]] + score > top:
-                top, n = best[path[start]] + score, self.n[path[start]] + 1
+            if score is not None and before[start - first][0] + score > top:
+                top, n = before[start - first][0] + score, before[start - first][1] + 1
         if text[end - 1] not in pieces:
             size = len(text[end - 1].encode())
-            if best[path[-1]] + self.unknown * size > top:
-                top, n = best[path[-1]] + self.unknown * size, self.n[path[-1]] + size
-        best.append(top)
-        self.n.append(n)
-        return len(best) - 1
+            if before[-1][0] + self.unknown * size > top:
+                top, n = before[-1][0] + self.unknown * size, before[-1][1] + size
+        return top, n
 
 
 class Counter:
-    """n_tokens of pre-tokens; the counts found so far stay, in two generations of at most CACHE."""
+    """n_tokens of pre-tokens; the counts found so far stay, but for those of very long ones, in two generations of at most
+    CACHE."""
 
     def __init__(self, pieces: dict[str, float]):
         self.trie = Trie(pieces)
@@ -88,9 +99,12 @@ class Counter:
         self.old: dict[str, int] = {}
 
     def walk(self, tokens: Iterable[str]) -> dict[str, int]:
-        if len(self.trie.n) > NODES:
-            self.trie.clear()
-        return {x: self.trie.insert(MARK + x) for x in tokens}
+        out = {}
+        for x in tokens:
+            if len(self.trie.states) > NODES:
+                self.trie.clear()
+            out[x] = self.trie.insert(MARK + x)
+        return out
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         """n_pretokens and n_tokens of each text."""
@@ -107,6 +121,9 @@ class Counter:
             self.counts |= known
             self.counts |= self.walk(new.difference(known))
             out += [(len(words), sum(map(self.counts.__getitem__, words))) for words in split]
+            for x in new:
+                if len(x) > SHARED:
+                    del self.counts[x]
             at += len(split)
         return out
 

@@ -119,6 +119,11 @@ def test_token_counts(docs):
     r = random.Random(2)
     words = ["".join(r.choice("aethinorsé中▁Z9") for _ in range(r.randint(1, 9))) for _ in range(400)] + ["the", "there", "therefore", "a" * 50]
     assert counter.walk(set(words)) == {w: brute_count(pieces, counter.trie.unknown, w) for w in set(words)}
+    long = ["".join(r.choice("aethinorsé中") for _ in range(n)) for n in (token_counts.SHARED - 1, token_counts.SHARED, 5_000)] + ["the" * 2_000]
+    assert counter.walk(set(long)) == {w: brute_count(pieces, counter.trie.unknown, w) for w in long}
+    nodes = len(counter.trie.states)
+    assert counter.count(["ae" * 200_000 + " a", "the"])[0][0] == 2 and len(counter.trie.states) <= nodes + token_counts.SHARED + 5
+    assert max(map(len, counter.counts)) <= token_counts.SHARED
     rows = token_counts.token_counts(docs).collect()
     assert len(rows) == len(TEXTS)
     by = {r["doc_id"]: r for r in rows}
