@@ -262,6 +262,32 @@ def test_within():
                 assert [linked(i, j) for i, j in places] in ([distance(a, b) <= t], [] if distance(a, b) > t else None)
 
 
+def test_within_long_lines(monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(line_dedup, "PART", 4)
+    for _ in range(1000):
+        a = "".join(r.choice("abc") for _ in range(r.randint(1, 30)))
+        b = edited(r, a, r.randint(0, 4))
+        for t in (1, 2, 3):
+            assert line_dedup.within(a, b, t) == min(distance(a, b), t + 1), (a, b, t)
+    monkeypatch.undo()
+    a = "".join(r.choice("abcdefgh ") for _ in range(1_000_000))
+    began = time.process_time()
+    assert line_dedup.within(a, edited(r, a, 2), 2) <= 2 and line_dedup.within(a, "x" + a[:-1] + "yz", 2) == 3
+    assert time.process_time() - began < 30
+
+
+def test_line_texts_by_shuffle(spark, monkeypatch):
+    """Above the size of a broadcast, texts that meet are fetched by a shuffle: the classes are equal."""
+    r = random.Random(6)
+    lines = ["".join(r.choice("abcdef") for _ in range(20)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, "\n".join(edited(r, r.choice(lines), r.randint(0, 2)) for _ in range(4))) for i in range(40)], "doc_id long, text string")
+    few = lambda: sorted(map(tuple, line_dedup.line_classes(docs).collect()), key=str)
+    broadcast = few()
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    assert few() == broadcast and any(x[5] for x in broadcast)
+
+
 def test_segments_meet():
     r = random.Random(1)
     for _ in range(2000):
