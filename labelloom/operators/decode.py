@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import re
 import time
+import warnings
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators import images as I
@@ -203,6 +205,23 @@ def pixels(row: dict[str, Any]) -> tuple[np.ndarray | None, str | None]:
         return None, f"{type(e).__name__}: {e}"
 
 
+def checked_config(spark: SparkSession, folder: str, config: OcrConfig = OcrConfig()) -> OcrConfig:
+    """E1, once before a run: config, if folder has a model for each of its languages (joined by +), else a ValueError that
+    names what is missing. Without the orientation's model a warning is given, and orientation isn't asked for. The folder
+    is listed by Spark, so any that Spark reads will do."""
+    try:
+        paths = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.traineddata").load(folder).select("path").collect()]
+    except AnalysisException as e:
+        raise ValueError(f"no folder of models: {folder}") from e
+    found = {p.rpartition("/")[2].removesuffix(".traineddata") for p in paths}
+    if missing := [x for x in config.language.split("+") if x not in found]:
+        raise ValueError(f"{folder} has no model for: {', '.join(missing)}")
+    if config.detect_orientation and "osd" not in found:
+        warnings.warn(f"{folder} has no osd.traineddata: orientation isn't detected", stacklevel=2)
+        return replace(config, detect_orientation=False)
+    return config
+
+
 def detect_texts(images: DataFrame, make: Callable[[], Decoder], config: OcrConfig = OcrConfig()) -> DataFrame:
     """image_id, texts (P4, in order), success, error of whole label images."""
 

@@ -29,8 +29,3 @@ def correct_each_batch(vocabulary: DataFrame, write: Callable[[DataFrame, int],
     """For foreachBatch: a micro-batch's texts are corrected as a batch, then written by write(rows, batch_id), which
     should replace what it wrote for the same batch_id before."""
     return lambda rows, batch_id: write(correct(rows, vocabulary, matcher), batch_id)
-
-
-def label_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events (ts, event_type) counted by window; late ones are taken for as long as `late`."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
