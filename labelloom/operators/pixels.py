@@ -116,8 +116,10 @@ def thresholds(bins: DataFrame) -> DataFrame:
     weight = F.col("bin") * F.col("n")
     sums = bins.select("image_id", "bin", F.sum("n").over(up_to).alias("below"), F.sum("n").over(whole).alias("all"), F.sum(weight).over(up_to).alias("s"), F.sum(weight).over(whole).alias("total"))
     n, m = F.col("below").cast("float"), (F.col("all") - F.col("below")).cast("float")
-    gap = F.col("s").cast("float") / n - (F.col("total").cast("float") - F.col("s").cast("float")) / m
-    variance = F.when(F.col("below") < F.col("all"), n * m * gap.cast("float") * gap.cast("float")).cast("float")
+    s, total = F.col("s").cast("float"), F.col("total").cast("float")
+    # Spark divides floats as doubles: each quotient is rounded on its own.
+    gap = (s / n).cast("float") - ((total - s) / m).cast("float")
+    variance = F.when(F.col("below") < F.col("all"), n * m * gap * gap)
     best = sums.withColumn("variance", variance).groupBy("image_id").agg(F.max_by("bin", F.struct("variance", -F.col("bin"))).alias("bin"), F.max("variance").alias("variance"))
     return best.select("image_id", F.when(F.col("variance") > 0, F.col("bin")).otherwise(NO_CLASSES).cast("int").alias("threshold"))
 

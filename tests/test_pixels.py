@@ -94,3 +94,11 @@ def test_empty_tables(spark):
         assert f(none).collect() == []
     nulls = spark.createDataFrame([(1, 1, 1, 0, 0, None)], P.PIXELS)
     assert P.histogram(nulls).count() == 0 == P.thresholds(P.histogram(nulls)).count()
+
+
+def test_thresholds_of_nearly_equal_variances(spark):
+    """Quotients rounded to single precision one by one decide between bins whose variances differ in the last bits."""
+    some = np.random.default_rng(5).integers(100, 160, (8000, 64))
+    bins = [(i, int(b), int(n)) for i, x in enumerate(some) for b, n in zip(*np.unique(x, return_counts=True))]
+    got = {x["image_id"]: x["threshold"] for x in P.thresholds(spark.createDataFrame(bins, "image_id long, bin int, n long")).collect()}
+    assert got == {i: I.otsu_threshold(np.bincount(x, minlength=256)) for i, x in enumerate(some)}
