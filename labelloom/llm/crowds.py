@@ -5,6 +5,9 @@ and one other; that joins most of a crowd of near copies to one component. What
 of a crowd is compared with all of it, in tiles of bounded size that are spread over tasks; within a tile, two
 components that one link has joined are not compared again. Nothing is dropped or capped: no link between two
 components is lost, and what leaves a tile is links alone.
+
+That is meeting_roots, for classes. linked_nodes finds every link, those within a class too: all pairs of a crowd are
+compared in such tiles, and what leaves a tile is each node's number of links and the links that join its classes.
 """
 
 from __future__ import annotations
@@ -129,3 +132,68 @@ def meeting_roots(met: DataFrame, verify: Step, may: Column, centre: Step, data:
     if groups.isEmpty():
         return roots
     return checkpoint(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tile_links(groups, data, make))))
+
+
+def tile_counts(held: DataFrame, data: DataFrame, make: Callable[[], Compare]) -> DataFrame:
+    """Of all links between nodes that share a key: rows (a, null, n), n of the links of node a, to be summed, and links
+    (a, b, 0) that join the same components. held: node, keys (sorted). A pair counts on the first key that both have."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, diagonal = table["key"][0].as_py(), table["i"][0] == table["j"][0]
+        rows = sorted(table.select(["node", "keys", "data", "left"]).to_pylist(), key=lambda r: r["node"])
+        xs = [r for r in rows if r["left"]]
+        ys = xs if diagonal else [r for r in rows if not r["left"]]
+        sets = {r["node"]: frozenset(r["keys"]) for r in rows}
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := joined.get(x, x)) != x:
+                joined[x] = x = joined.get(up, up)
+            return x
+
+        n: dict[int, int] = {}
+        found = []
+        places, linked = make()([r["data"] for r in xs], [r["data"] for r in ys])
+        for i, j in places:
+            a, b = xs[i]["node"], ys[j]["node"]
+            if diagonal and i >= j or min(sets[a] & sets[b]) != key or not linked(i, j):
+                continue
+            n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+            if (u := root(a)) != (v := root(b)):
+                joined[max(u, v)] = min(u, v)
+                found.append((a, b))
+        ends = [[*n, *(x for x, _ in found)], [*[None] * len(n), *(y for _, y in found)], [*n.values(), *[0] * len(found)]]
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip("abn", ends)})
+
+    bounded_batches(held.sparkSession)
+    rows = held.join(data, "node").select(F.explode("keys").alias("key"), "node", "keys", "data")
+    of = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.octet_length("data")) / TILE_BYTES)).cast("int").alias("tiles"))
+    # Merged, so that a large crowd's rows can be split over tasks, and dealt anew before they are multiplied.
+    placed = rows.join(of.hint("merge"), "key").repartition("key", "node").withColumn("own", F.pmod(F.xxhash64("key", "node"), "tiles").cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") <= k).alias("left")))
+    spread = placed.select("key", "node", "keys", "data", F.explode(tiles).alias("x")).select("key", "x.i", "x.j", "x.left", "node", "keys", "data")
+    return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, n long")
+
+
+def linked_nodes(met: DataFrame, verify: Step, may: Column, data: DataFrame, make: Callable[[], Compare], few: int | None = None) -> DataFrame:
+    """node, root, n_links of the nodes that have a link: the smallest node that it reaches, and how many other nodes it is
+    linked to itself. met, verify, may, data, make: as of meeting_roots, without low; few: FEW."""
+    few = FEW if few is None else few
+    few_met = met.where(F.col("n") <= few)
+    links = checkpoint(verify(checkpoint(pairs_of(few_met, few_met, (F.col("l.node") < F.col("r.node")) & may))))
+    crowds = met.where(F.col("n") > few).select("key", "node")
+    ends = lambda x: x.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    if crowds.isEmpty():
+        each, joins = ends(links), links
+    else:
+        held = checkpoint(crowds.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")))
+        tiles = checkpoint(tile_counts(held, data, make))
+        apart = links
+        for side in ("a", "b"):
+            apart = apart.join(held.select(F.col("node").alias(side), F.col("keys").alias(f"keys_{side}")), side, "left")
+        # What meets in a crowd as well is counted there.
+        apart = apart.where(~F.coalesce(F.arrays_overlap("keys_a", "keys_b"), F.lit(False)))
+        each = ends(apart).unionByName(tiles.where("b is null").select(F.col("a").alias("node"), "n"))
+        joins = links.unionByName(tiles.where("b is not null").select("a", "b"))
+    roots = components(joins)
+    return named(each.groupBy("node").agg(F.sum("n").alias("n_links")), roots).select("node", "root", "n_links")

@@ -5,8 +5,8 @@ other unchanged, near its place. Each line puts its segments into an index keyed
 and probes it, for every length up to THRESHOLD below its own, with those of its substrings that a segment could have
 become (the places are bounded from the left and from the right). Where few meet, pairs of an entry and a probe whose
 letter parities differ in few enough bits are verified by an edit distance of bit-parallel steps over a band of
-2 * THRESHOLD + 1 diagonals. Where many do, crowds.py compares them without pairing the crowd. Links make classes; of
-each class the first line, by doc_id (null last), row and place, stays.
+2 * THRESHOLD + 1 diagonals. Where many do, crowds.py compares all of them in tiles and counts their links there. Links
+make classes; of each class the first line, by doc_id (null last), row and place, stays.
 
 Lines are cut at line feeds and stripped of ASCII white space; blank ones are not counted and always stay. Lines of
 fewer characters than segments have empty segments, which every line near their length holds: lines of all lengths are
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import checkpoint, is_row, map_batches, one_of_equals, row_hash, table, text_or_empty
-from labelloom.llm.crowds import Compare, meeting_roots
+from labelloom.llm.crowds import Compare, linked_nodes
 
 THRESHOLD = 2
 #: Lines that meet, whose texts are fetched by a broadcast of their ids at most; beyond, by a shuffle of all lines.
@@ -204,7 +204,8 @@ def comparing(threshold: int) -> Callable[[], Compare]:
 
 
 def line_roots(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """node, root for distinct lines that are within threshold edits of another. lines: node, line, repeats and all."""
+    """node, root, n_links for distinct lines that are within threshold edits of another: the class, and how many other lines
+    are within threshold edits. lines: node, line, repeats and all."""
     # One shuffle for both uses: the parities are asked for so that both read the same columns, from the same exchange.
     keys = keyed_lines(distinct, threshold).repartition("key")
     has = lambda role: F.max(F.col("role").bitwiseAND(F.lit(role).cast("byte")))
@@ -229,24 +230,17 @@ def line_roots(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}")), side)
         return map_batches(pairs.select("a", "b", "line_a", "line_b"), make, "a long, b long")
 
-    def centre(crowds: DataFrame) -> DataFrame:
-        """The lines that meet many on more of their keys are the more central."""
-        return crowds.join(crowds.groupBy("node").agg(F.count("*").alias("centre")), "node")
-
-    return meeting_roots(met, verify, may, centre, texts.select("node", F.col("line").cast("binary").alias("data")), comparing(threshold))
+    return checkpoint(linked_nodes(met, verify, may, texts.select("node", F.col("line").cast("binary").alias("data")), comparing(threshold)))
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, row, at, line_id, class_id, n_links, first, first_doc_id: a row for each line that isn't blank. n_links:
-    the other texts of the line's class; first: no line of the class stands before it, by doc_id (null last), row and
+    the other texts within threshold edits of the line's; first: no line of the class stands before it, by doc_id (null last), row and
     place; first_doc_id: the document of the one that is first."""
     lines = document_lines(docs).withColumn("node", F.xxhash64("line"))
     lines_alone = lines.select("node", "line")
-    roots = line_roots(lines_alone, lines_alone.distinct(), threshold)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n_links"))
-    linked = roots.join(sizes, "root").select("node", "root", "n_links").unionByName(sizes.select(F.col("root").alias("node"), "root", "n_links"))
     # Written out, so that the joins below shuffle them plainly and a frequent line's rows can be split over tasks.
-    known, placed = checkpoint(linked), checkpoint(lines.drop("line"))
+    known, placed = line_roots(lines_alone, lines_alone.distinct(), threshold), checkpoint(lines.drop("line"))
     classed = placed.join(known, "node", "left").select("doc_id", "row", "at", F.col("node").alias("line_id"), F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "at")
     repeated = checkpoint(classed.groupBy("class_id").agg(F.min(order).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -275,7 +269,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_lines, n_dropped, n_links (of its lines, to the other texts of their classes), the places of
+    """Per document: n_lines, n_dropped, n_links (of its lines, to the other texts within THRESHOLD edits), the places of
     dropped lines, and the documents that hold the first lines of their classes."""
     docs = table(spark, sf_dir, "documents")
     none = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.lit(None).cast("int").alias("at"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"), F.lit(None).cast("long").alias("first_doc_id"))

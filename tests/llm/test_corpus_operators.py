@@ -332,6 +332,27 @@ def test_classes_of_crowds(spark, monkeypatch):
     assert found == expected and n > 1000 and 100 < len(set(expected)) < len(lines) - 100
 
 
+@pytest.mark.parametrize("few", [32, 2])
+def test_links_within_classes(spark, monkeypatch, few):
+    """Each line's own links, in crowds and beside them, where most of a class's lines aren't linked to each other."""
+    monkeypatch.setattr(crowds, "FEW", few)
+    monkeypatch.setattr(crowds, "TILE", 16)
+    r = random.Random(15)
+    base = "a line that stands nearly everywhere, edited a little"
+    lines = {edited(r, base, 1).strip() for _ in range(60)} | {edited(r, edited(r, base, 2), 2).strip() for _ in range(60)}
+    lines |= {"the same beginning of it " + "".join(r.choice("abcd") for _ in range(5)) for _ in range(80)} | {f"Page {i}" for i in range(0, 300, 4)}
+    lines = sorted(lines)
+    links = [(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and distance(lines[i], lines[j]) <= 2]
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    found = {x["node"]: (x["root"], x["n_links"]) for x in line_dedup.line_roots(df, df).collect()}
+    degree, group = Counter(x for pair in links for x in pair), classes(len(lines), links)
+    size, least = Counter(group), {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    assert found == {i: (least[group[i]], n) for i, n in degree.items()}
+    assert sum(n < size[group[i]] - 1 for i, n in degree.items()) > 100
+
+
 def test_line_dedup(spark):
     r = random.Random(6)
     base = ["".join(r.choice("abcdefé ") for _ in range(r.randint(5, 60))).strip() or "x" for _ in range(40)]
@@ -345,7 +366,7 @@ def test_line_dedup(spark):
     links = [(i, j) for i, a in enumerate(long) for j, b in enumerate(long[:i]) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
     group = dict(zip(long, classes(len(long), links)))
     group |= {x: "z" for x in lines if len(x) >= 1000}
-    size = Counter(group.values())
+    degree = Counter(long[x] for pair in links for x in pair) | Counter({x: 1 for x in lines if len(x) >= 1000})
     df = spark.createDataFrame([(i, t, "clash", n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, dropped_at string, row int")
     df = df.withColumn("row", F.lit(0))
     order = {(x["doc_id"], x["text"]): x["h"] for x in df.select("doc_id", "text", line_dedup.row_hash(df).alias("h")).collect()}
@@ -358,7 +379,7 @@ def test_line_dedup(spark):
                 dropped.append(at)
                 holders |= {seen[group[x]]} - {None}
             seen.setdefault(group[x], i)
-        expected.append((i, len(places), len(dropped), sum(size[group[x]] - 1 for _, x in places), ",".join(map(str, dropped)), sorted(holders)))
+        expected.append((i, len(places), len(dropped), sum(degree[x] for _, x in places), ",".join(map(str, dropped)), sorted(holders)))
         cut.append((i, None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in dropped)))
     line_dedup_table = line_dedup.table
     try:
