@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import bounded_batches, new_folder, table, text_or_empty
+from labelloom.llm.common import bounded_batches, table, text_or_empty
 
 WIDTH = 13
 SEED = 5
@@ -215,10 +215,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, chunk_
 
     packed = dealt.groupBy("chunk").applyInArrow(paths, "bucket int, chunk int, seeds binary, ids binary, shapes binary, tags binary")
     met = packed.groupBy("bucket").applyInArrow(meet, "chunk int, bucket int, places binary, sources binary")
-    folder = new_folder(spark, "repeats")
-    met.write.parquet(folder)
-    back = spark.read.schema("chunk int, bucket int, places binary, sources binary").parquet(folder)
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(glue, RESULT)
+    # One query: both uses of the dealt texts read the same exchange.
+    return dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(glue, RESULT)
 
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,15 @@ def cut_rows(df, **more):
     return sorted((tuple(r) for r in substrings.repeated_spans(df, **more).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
 
 
+def test_texts_are_dealt_once(spark, tmp_path):
+    """The chunks' texts go through one exchange, which both of their readers read."""
+    spark.createDataFrame([(i, f"text {i} " + "of words that are here again and again and never change at all " * 2) for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    rows = substrings.repeated_spans(spark.read.parquet(str(tmp_path / "docs")))
+    assert len(rows.collect()) == 20
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" in plan and plan.count("ReusedExchange") == 1
+
+
 @pytest.mark.parametrize("more", [{}, {"chunk_bytes": 200, "bucket_bytes": 300}, {"width": 6, "seed": 2}])
 def test_repeated_spans(spark, more):
     rows = some_texts(150)
