@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import barcodes as C
+from labelloom.operators import linear
 from labelloom.operators import template as P
 from labelloom.operators.decode import decode_regions, decode_with_retry
 from labelloom.operators.images import IMAGE
@@ -143,3 +144,19 @@ def test_read_and_write_in_one_call(spark, images):
     rows = {r["image_id"]: (r["metadata"], r["applied"]) for r in label_metadata(entries, images, LinearDecoder, "OCR_code", "BARCODE").collect()}
     assert rows == {1: ({"a": "b", "OCR_code": "CASE-1;Block 7"}, 1), 2: ({"OCR_code": "9780306406157"}, 1), 3: ({}, 0), 4: ({"c": "d"}, 0)}
     assert {r["applied"] for r in label_metadata(entries, images, LinearDecoder, "9 bad", "BARCODE").collect()} == {0}
+
+
+def test_symbols_looked_up():
+    """A symbol found by its rounded widths is the one that a comparison with all of them finds."""
+    r = np.random.default_rng(2)
+    rows = np.array([[int(w) for w in x] for x in C.CODE_128])
+    table = linear.Table(rows.tolist(), 11)
+    found = 0
+    for _ in range(4000):
+        widths = np.maximum(1, np.rint(rows[r.integers(len(rows))] * r.uniform(1, 6) + r.normal(0, r.choice([0.1, 1, 2]), 6))).astype(int)
+        off = np.abs(widths * (11 / widths.sum()) - rows)
+        best = int(off.sum(axis=1).argmin())
+        expected = best if off[best].mean() <= linear.MEAN_OFF and off[best].max() <= linear.MOST_OFF else None
+        assert table.nearest(widths.tolist()) == expected
+        found += expected is not None
+    assert 1000 < found < 4000
