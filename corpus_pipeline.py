@@ -22,7 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the first stays."""
+    """Of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the first stays. Those are
+    found by ball hashing of fingerprints, as in op6, and by minima of what differs in more bits than its balls reach."""
     return near_copies.keep_first_similar(docs)
 
 

@@ -107,13 +107,13 @@ def tile_links(members: DataFrame, data: DataFrame, make: Callable[[], Compare])
     return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def meeting_roots(met: DataFrame, verify: Step, may: Column, centre: Step, data: DataFrame, make: Callable[[], Compare], few: int = FEW) -> DataFrame:
+def meeting_roots(met: DataFrame, verify: Step, may: Column, centre: Step, data: DataFrame, make: Callable[[], Compare], more: DataFrame, few: int = FEW) -> DataFrame:
     """node, root of the linked nodes. met: key, node, n (rows of the key), low (the key's smallest node) and what may
     reads of both sides, l and r. verify: pairs (a, b) -> those that are linked. centre: crowds' members -> the same
     with a column centre, larger for nodes that are likely to reach more; members that reach none may be left out.
-    data: node, data (of all nodes that meet); make: as of tile_links."""
+    data: node, data (of all nodes that meet); make: as of tile_links. more: pairs (a, b) that meet otherwise."""
     few_met = met.where(F.col("n") <= few)
-    links = checkpoint(verify(checkpoint(pairs_of(few_met, few_met, (F.col("l.node") < F.col("r.node")) & may))))
+    links = checkpoint(verify(checkpoint(pairs_of(few_met, few_met, (F.col("l.node") < F.col("r.node")) & may).unionByName(more).distinct())))
     crowds = met.where(F.col("n") > few).select("key", "node", "low")
     if crowds.isEmpty():
         return checkpoint(components(links))

@@ -1,10 +1,13 @@
 """Near copies by the Jaccard similarity of word shingles: linked from SIMILAR on, the first row of each component stays.
 
 Words are those of simhash; a text's set holds the XXH64 hashes of its shingles of WIDTH words (fewer words: the whole
-sequence; none: an empty set, equal to other empty ones alone). Equal sets are one node from the start. Candidates meet
-on one of BANDS bands of ROWS minima each: a pair of similarity s meets on none with probability (1 - s**4)**32, 5e-8
-at 0.8. Of a candidate, first the minima's low bytes must agree in enough places (at 0.8, less than one in a billion
-fails), then the exact similarity of the shingles decides.
+sequence; none: an empty set, equal to other empty ones alone). Equal sets are one node from the start.
+
+Candidates meet in two ways. By simhash.py's method: the shingles' hashes make a fingerprint, and ball hashing links those
+within 3 bits. At 0.8 fingerprints differ in 10 of 64 bits on average, so of pairs near the limit that finds few. Those
+meet on one of BANDS bands of ROWS minima each: a pair of similarity s meets on none with probability (1 - s**4)**32, 5e-8
+at 0.8. Of a candidate, however found, first the minima's low bytes must agree in enough places (at 0.8, less than one in
+a billion fails), then the exact similarity of the shingles decides.
 
 Crowds on one band are compared as crowds.py tells. The node with the largest share of shingles that others of the
 crowds have too is the most central; nodes whose own shingles rule a similarity with any other out go no further.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import checkpoint, firsts_of, map_batches, row_hash, text_or_empty, utf8
 from labelloom.llm.crowds import Compare, meeting_roots
-from labelloom.llm.simhash import SEED
+from labelloom.llm.simhash import SEED, fingerprint_of, links_of
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -42,14 +45,19 @@ FACTORS = _mixers.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
+def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the shingles, repeats included, in their order."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    return np.array([xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64)
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -78,28 +86,31 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def shingled(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, row (the row's hash), node (the set's hash), sketch (low bytes of the minima), bands."""
+    """doc_id, row (the row's hash), node (the set's hash), sketch (low bytes of the minima), bands, fp (the fingerprint)."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             nodes: list[int] = []
+            prints: list[int] = []
             sketches: list[bytes] = []
             bands: list[np.ndarray] = [np.zeros(0, np.int64)]
             for text in utf8(batch.column(2)):
-                hashes = shingle_set(text, width)
+                every = shingle_hashes(text, width)
+                hashes = np.unique(every)
                 least = minima(hashes)
+                prints.append(fingerprint_of(every))
                 nodes.append(xxh64_intdigest(hashes.tobytes(), SEED))
                 sketches.append(least.astype(np.uint8).tobytes())
                 bands.append(band_keys(least))
             offsets = pa.array(np.arange(0, BANDS * (len(nodes) + 1), BANDS, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands)))], names=["doc_id", "row", "node", "sketch", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands))), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "row", "node", "sketch", "bands", "fp"])
 
         return one
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), text_or_empty().alias("text"))
-    return map_batches(few, make, "doc_id long, row long, node long, sketch binary, bands array<long>")
+    return map_batches(few, make, "doc_id long, row long, node long, sketch binary, bands array<long>, fp long")
 
 
 def shingles_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -185,16 +196,29 @@ def comparing(least: float) -> Callable[[], Compare]:
     return make
 
 
+def ball_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, whose fingerprints are equal or linked by their balls; of each fingerprint, one node stands
+    for the others. sets: as of shingled."""
+    prints = checkpoint(sets.select("fp", "node").distinct())
+    of = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = prints.join(of.hint("merge"), "fp").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    near = links_of(of.select("fp"))
+    for side, name in (("a", "x"), ("b", "y")):
+        near = near.join(of.select(F.col("fp").alias(side), F.col("first").alias(name)).hint("merge"), side)
+    return equal.unionByName(near.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_nodes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, least: float = SIMILAR) -> DataFrame:
     """node, root: components of the nodes that another one is similar to."""
     emitted = sets.select("node", F.explode("bands").alias("key")).distinct()
     keys = emitted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
     met = checkpoint(emitted.join(keys, "key"))
-    nodes = met.select("node").distinct()
+    balls = checkpoint(ball_pairs(sets))
+    nodes = met.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sketches = checkpoint(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
     shingles = checkpoint(shingles_of(docs, sets, nodes, width))
     data = sketches.join(shingles, "node").select("node", F.concat("sketch", "shingles").alias("data"))
-    return meeting_roots(met, lambda pairs: verified(pairs, sketches, shingles, least), F.lit(True), lambda x: central(x, shingles, least), data, comparing(least))
+    return meeting_roots(met, lambda pairs: verified(pairs, sketches, shingles, least), F.lit(True), lambda x: central(x, shingles, least), data, comparing(least), balls)
 
 
 def keep_first_similar(docs: DataFrame, width: int = WIDTH, least: float = SIMILAR) -> DataFrame:

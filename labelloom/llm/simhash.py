@@ -47,11 +47,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, AT_ONCE):
-        hashes = np.array([xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + AT_ONCE))], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += bits_set(np.array([xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + AT_ONCE))], np.uint64))
+    return majority(counts, n)
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each of 64 bits is set, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Of shingles' hashes, repeats included; none: 0."""
+    return majority(sum((bits_set(hashes[at : at + AT_ONCE]) for at in range(0, len(hashes), AT_ONCE)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row (the row's hash), fp: the fingerprint's 64 bits as a long."""
 

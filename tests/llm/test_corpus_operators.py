@@ -146,6 +146,28 @@ def test_near_copies(spark, monkeypatch):
     assert near_copies.keep_first_similar(df.limit(0)).count() == 0
 
 
+def test_near_copies_by_balls(spark, monkeypatch):
+    """Ball hashing of fingerprints links near copies by itself where no minima meet; the exact similarity still decides."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for _ in range(30):
+        base = [r.choice(vocab) for _ in range(r.choice((40, 300)))]
+        rows += [" ".join(base), " ".join([*base, r.choice(vocab)]), " ".join([*base[:-1], r.choice(vocab), r.choice(vocab)])]
+    prints = [simhash.fingerprint(t.encode(), near_copies.WIDTH) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    sets = brute_sets(rows)
+    links = [(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = near_copies.shingled(df).select("doc_id", "node", "fp").collect()
+    assert {x["doc_id"]: x["fp"] % 2**64 for x in found} == dict(enumerate(prints)) and len(links) > 30
+    # Bands of no use: each text has keys of its own.
+    monkeypatch.setattr(near_copies, "band_keys", lambda least: np.frombuffer(least.tobytes()[: 8 * near_copies.BANDS], np.int64) ^ hash(least.tobytes()))
+    kept = {x["doc_id"] for x in near_copies.keep_first_similar(df).collect()}
+    group = classes(len(rows), links)
+    assert kept == {min(i for i, g in enumerate(group) if g == x) for x in set(group)}
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
