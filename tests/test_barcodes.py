@@ -11,7 +11,8 @@ from labelloom.operators import linear
 from labelloom.operators import template as P
 from labelloom.operators.decode import decode_regions, decode_with_retry
 from labelloom.operators.images import IMAGE
-from labelloom.operators.linear import LinearDecoder, raster_of
+from labelloom.operators.images import otsu_threshold, upscale
+from labelloom.operators.linear import LinearDecoder, drawn, raster_of
 from labelloom.plans.pipeline import label_metadata, read_fields, read_labels, scan_full_image
 
 
@@ -160,3 +161,52 @@ def test_symbols_looked_up():
         assert table.nearest(widths.tolist()) == expected
         found += expected is not None
     assert 1000 < found < 4000
+
+
+def test_drawn_in_many_tasks(spark):
+    """Rows of one file, or of one task, are drawn and read by as many tasks as the shuffle has."""
+    rows = spark.createDataFrame([(i, f"CASE-{i}", "CODE_39", 2, False, False) for i in range(200)], "image_id long, text string, format string, module int, turned boolean, inverted boolean").coalesce(1)
+    assert rows.rdd.getNumPartitions() == 1
+    found = read_labels(drawn(rows), LinearDecoder, kind="BARCODE").select("image_id", "text", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["image_id"], r["text"]) for r in found) == [(i, f"CASE-{i}") for i in range(200)]
+    tasks = [r["task"] for r in found]
+    assert len(set(tasks)) == 4 and max(map(tasks.count, set(tasks))) < 100
+
+
+def test_threshold_of_occupied_bins():
+    """The same as with all bins looked at, for few values as for many, large counts included."""
+    r = np.random.default_rng(5)
+    for k in range(3000):
+        counts = np.zeros(256, np.int64)
+        at = r.choice(256, [0, 1, 2, 2, 3, 20, 256][k % 7], replace=False)
+        counts[at] = r.integers(1, [2, 50, 10**6, 10**8][k % 4], len(at))
+        below = np.cumsum(counts)
+        above = below[-1] - below
+        sums = np.cumsum((np.arange(256) * counts).astype(np.float32), dtype=np.float32)
+        inside = (below > 0) & (above > 0)
+        n, m, s = below[inside].astype(np.float32), above[inside].astype(np.float32), sums[inside]
+        gap = s / n - (sums[-1] - s) / m
+        variance = n * m * gap * gap
+        assert otsu_threshold(counts) == (int(np.flatnonzero(inside)[variance.argmax()]) if len(variance) and variance.max() > 0 else 128)
+
+
+def test_equal_rows_scaled_once():
+    """An image of equal rows is scaled as it is beside other rows."""
+    r = np.random.default_rng(6)
+    for k in range(40):
+        row = r.integers(0, 2, (1, 60)) * 255 if k % 2 else r.integers(0, 256, (1, 60))
+        x = np.repeat(row, 12, axis=0).astype(np.uint8)
+        for factor in (2, 3):
+            other = np.concatenate([x, 255 - x[:1]])  # its last row reaches the two above it alone
+            assert (upscale(x, factor)[: 9 * factor] == upscale(other, factor)[: 9 * factor]).all()
+            assert upscale(x, factor).shape == (12 * factor, 60 * factor)
+
+
+def test_decoder_keeps_no_mistakes():
+    """One decoder over many images, turned, light on dark and cut, reads what a new one reads."""
+    one = LinearDecoder()
+    for form in C.FORMATS:
+        for k, text in enumerate(texts_of(form, 12, seed=len(form))):
+            image = raster_of(C.DRAW[form](text), module=1 + k % 3)
+            for x in (image, image[:, ::-1], image.T, 255 - image, image[:, : image.shape[1] // 2], np.concatenate([image, 255 - image])):
+                assert decode_with_retry(one, np.ascontiguousarray(x)) == decode_with_retry(LinearDecoder(), np.ascontiguousarray(x))
